@@ -95,6 +95,7 @@ def star_quotes(spark: SparkSession, folder: str) -> DataFrame:
         F.trunc("l_shipdate", "quarter").alias("collected_date"),
         F.col("l_shipdate").alias("collected_at"),
         F.col("o_orderdate").alias("departure_at"),
+        F.to_date("o_orderdate").alias("travel_date"),
         F.when(F.year("l_shipdate") == 1997, "SIMULATED_DEMO")
         .otherwise("LIVE_COLLECTED")
         .alias("provenance"),
