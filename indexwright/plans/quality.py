@@ -29,10 +29,8 @@ def lead_time_profile(quotes: DataFrame, route: str | None = None) -> DataFrame:
     )
     # At most six rows from here on.
     buckets = lead_time_buckets(quotes.sparkSession).drop("lam")
-    base = F.broadcast(
-        per_bucket.filter(F.col("bucket") == "T21").select(F.col("mean_fare").alias("_base"))
-    )
-    joined = per_bucket.join(F.broadcast(buckets), "bucket").join(base, how="left", on=F.lit(True))
+    base = per_bucket.filter(F.col("bucket") == "T21").select("mean_fare").scalar()
+    joined = per_bucket.join(F.broadcast(buckets), "bucket").withColumn("_base", base)
     relative = F.bround(F.col("mean_fare").cast("double") / F.col("_base").cast("double") * 100, 1)
     return joined.select(
         "bucket", "days", "cpi_comparable", "quotes", "min_fare",
