@@ -140,9 +140,9 @@ def admission_verdicts(
     """The ordered decision for each planned fetch.
 
     Every check that does not depend on other fetches is a column. The budget
-    numbers the fetches of a source-day among those otherwise allowed; the count
-    is kept in two steps so that a source with most of the fetches is not sorted
-    in one task: numbers within an hour, plus the totals of the hours before.
+    keeps the first fetches of a source-day among those otherwise allowed: a row
+    number compared with a constant, which Spark also cuts down before the
+    shuffle, so a source with most of the fetches costs no more than any other.
     """
     if budget > DAILY_BUDGET or budget < 0:
         raise ValueError(f"the daily budget must be between 0 and {DAILY_BUDGET}")
@@ -157,23 +157,9 @@ def admission_verdicts(
         .when(F.coalesce("base_url", F.lit("")) == "", "BLOCKED_UNREVIEWED")
         .when(~api & ~F.coalesce("allowed", F.lit(False)), "BLOCKED_ROBOTS")
     )
-    judged = known.withColumn("decision", first).withColumn("day", F.to_date("planned_at")).withColumn(
-        "_slot", (F.hour("planned_at") * 3600 + F.minute("planned_at") * 60 + F.second("planned_at")).cast("int")
-    )
-    open_ = judged.filter(F.col("decision").isNull())
-    # At most 86,400 one-second slots in a source-day.
-    slots = open_.groupBy("source", "day", "_slot").agg(F.count("*").alias("_n")).withColumn(
-        "_before",
-        F.sum("_n").over(Window.partitionBy("source", "day").orderBy("_slot")) - F.col("_n"),
-    )
-    # Only slots that straddle or precede the budget need their fetches numbered.
-    near = slots.filter(F.col("_before") < budget)
-    numbered = open_.join(near, ["source", "day", "_slot"]).withColumn(
-        "_no",
-        F.col("_before") + F.row_number().over(
-            Window.partitionBy("source", "day", "_slot").orderBy("planned_at", "fetch_id")
-        ),
-    )
+    judged = known.withColumn("decision", first).withColumn("day", F.to_date("planned_at"))
+    order = Window.partitionBy("source", "day").orderBy("planned_at", "fetch_id")
+    numbered = judged.filter(F.col("decision").isNull()).withColumn("_no", F.row_number().over(order))
     inside = numbered.filter(F.col("_no") <= budget).select("fetch_id", F.lit(True).alias("_inside"))
     return (
         judged.join(inside, "fetch_id", "left")
@@ -186,7 +172,7 @@ def admission_verdicts(
             F.when(api, F.concat(F.lit("api terms: "), F.coalesce("matched_rule", F.lit("-"))))
             .otherwise(F.col("matched_rule")),
         )
-        .drop("_slot", "_inside")
+        .drop("_inside")
     )
 
 
