@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from indexwright.schemas import INDEX
+from indexwright.schemas import VALUE
 
 
 def as_index(value: Column) -> Column:
     """A computed double as a six-decimal index value."""
-    return F.bround(value, 6).cast(INDEX)
+    return F.bround(value, 6).cast(VALUE)
 
 
 def mean_of(value: Column, digits: int = 6) -> Column:
@@ -28,10 +28,10 @@ def mean_of(value: Column, digits: int = 6) -> Column:
 
 def weighted_mean(weight: Column, value: Column) -> Column:
     """Aggregate: sum(w*v)/sum(w) at six decimals, weights in at most eight."""
-    top = F.sum(weight.cast("decimal(10,8)") * value.cast("decimal(12,6)"))
+    top = F.sum(weight.cast("decimal(10,8)") * value.cast(VALUE))
     return F.bround(
         top.cast("decimal(26,14)") / F.sum(weight.cast("decimal(10,8)")).cast("decimal(11,8)"), 6
-    ).cast(INDEX)
+    ).cast(VALUE)
 
 
 def ratio(top: Column, bottom: Column, digits: int) -> Column:
@@ -46,8 +46,8 @@ def percent_change(now: Column, then: Column, digits: int) -> Column:
     The ratio is taken in units of the last published digit so that the decimal
     quotient keeps at least twelve exact places.
     """
-    n, t = now.cast(INDEX), then.cast(INDEX)
-    quotient = ((n - t) * F.lit(100)).cast("decimal(17,6)") / F.nullif(t, F.lit(0).cast(INDEX))
+    n, t = now.cast(VALUE), then.cast(VALUE)
+    quotient = ((n - t) * F.lit(100)).cast("decimal(17,6)") / F.nullif(t, F.lit(0).cast(VALUE))
     return F.bround(quotient, digits)
 
 

@@ -14,7 +14,7 @@ from indexwright.operators.matching import (
     relatives,
 )
 from indexwright.operators.screening import DEFAULT_K, FLAG, screen
-from indexwright.schemas import BASE_INDEX, INDEX, STRATUM, STRATUM_DAY
+from indexwright.schemas import BASE_INDEX, STRATUM, STRATUM_DAY, VALUE
 
 MIN_QUOTES = 3
 
@@ -67,7 +67,7 @@ def elementary(stats: DataFrame, min_quotes: int = MIN_QUOTES) -> DataFrame:
     return stats.withColumn(
         "insufficient", ~enough
     ).withColumn(
-        "gm_relative", F.when(enough, F.bround(F.exp("mean_log"), 6).cast(INDEX))
+        "gm_relative", F.when(enough, F.bround(F.exp("mean_log"), 6).cast(VALUE))
     ).withColumn(
         "reason",
         F.when(F.col("pairs") == 0, "no matched pairs: nothing to chain from")
@@ -111,8 +111,8 @@ def chain(stats: DataFrame, min_quotes: int = MIN_QUOTES) -> DataFrame:
     return rows.select(
         *STRATUM,
         F.col("z.days.obs_date").alias("obs_date"),
-        F.col("z.links.idx").cast(INDEX).alias("index_value"),
-        F.when(~first, F.col("z.links.prev").cast(INDEX)).alias("prev_index_value"),
+        F.col("z.links.idx").cast(VALUE).alias("index_value"),
+        F.when(~first, F.col("z.links.prev").cast(VALUE)).alias("prev_index_value"),
         F.col("z.days.raw_quotes").alias("raw_quotes"),
         # The first sighting and an insufficient day count what was collected,
         # a measured day counts the pairs that entered the mean.

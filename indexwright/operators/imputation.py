@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indexwright.schemas import BASE_INDEX, INDEX, STRATUM
+from indexwright.schemas import BASE_INDEX, STRATUM, VALUE
 
 MAX_CONSECUTIVE = 30
 
@@ -89,12 +89,12 @@ def impute_missing(
     return rows.select(
         *STRATUM,
         F.col("z.days.obs_date").alias("obs_date"),
-        F.col("z.links.idx").cast(INDEX).alias("index_value"),
-        F.col("z.links.prev").cast(INDEX).alias("prev_index_value"),
+        F.col("z.links.idx").cast(VALUE).alias("index_value"),
+        F.col("z.links.prev").cast(VALUE).alias("prev_index_value"),
         F.when(imputed, "Y").otherwise("N").alias("imputation_code"),
         F.when(imputed, "NO_FLIGHTS").otherwise("NONE").alias("missing_reason"),
         F.when(imputed, F.col("z.days.donor_count")).otherwise(0).alias("donor_count"),
-        F.when(imputed, F.bround(F.exp("z.days.donor"), 6).cast(INDEX)).alias("movement_applied"),
+        F.when(imputed, F.bround(F.exp("z.days.donor"), 6).cast(VALUE)).alias("movement_applied"),
         F.col("z.links.run").alias("consecutive_imputations"),
     )
 

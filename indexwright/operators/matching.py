@@ -120,20 +120,17 @@ def collapse_near_duplicates(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     offer = ["source", "carrier", "departure_at", "fare_brand", "total_fare", "collected_date"]
     loose = quotes.filter(F.col("flight_no").isNull())
-    groups = loose.groupBy(*offer).agg(
-        F.min("quote_id").alias("kept_quote_id"), F.count("*").alias("copies")
+    repeated = (
+        loose.groupBy(*[F.col(c).alias(f"_{c}") for c in offer])
+        .agg(F.min("quote_id").alias("kept_quote_id"), F.count("*").alias("copies"))
+        .filter(F.col("copies") > 1)
     )
-    repeated = groups.filter(F.col("copies") > 1)
-    same_offer = [loose[c].eqNullSafe(repeated[c]) for c in offer]
+    same_offer = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in offer]
     log = (
         loose.join(repeated, same_offer)
-        .filter(loose["quote_id"] != repeated["kept_quote_id"])
+        .filter(F.col("quote_id") != F.col("kept_quote_id"))
         .select(
-            loose["quote_id"],
-            repeated["kept_quote_id"],
-            loose["route"],
-            loose["bucket"],
-            loose["collected_date"],
+            "quote_id", "kept_quote_id", "route", "bucket", "collected_date",
             F.lit("NEAR_DUPLICATE_COLLAPSED").alias("rule_id"),
         )
     )

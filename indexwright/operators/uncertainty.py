@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indexwright.schemas import INDEX
+from indexwright.schemas import VALUE
 
 # Two-sided 95% Student t by degrees of freedom, then the normal one.
 T_95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365}
@@ -27,14 +27,14 @@ def stratum_error(frame: DataFrame) -> DataFrame:
     """
     se = F.bround(
         F.col("index_value").cast("double") * F.sqrt(F.col("var_log") / F.col("accepted")), 6
-    ).cast(INDEX)
+    ).cast(VALUE)
     half = _multiplier(F.col("accepted")) * F.col("standard_error")
     return (
         frame.withColumn(
             "standard_error", F.when((F.col("accepted") >= 2) & F.col("index_value").isNotNull(), se)
         )
-        .withColumn("lower_95", F.bround(F.col("index_value") - half, 6).cast(INDEX))
-        .withColumn("upper_95", F.bround(F.col("index_value") + half, 6).cast(INDEX))
+        .withColumn("lower_95", F.bround(F.col("index_value") - half, 6).cast(VALUE))
+        .withColumn("upper_95", F.bround(F.col("index_value") + half, 6).cast(VALUE))
         .withColumn(
             "relative_error_pct",
             F.bround(
@@ -55,7 +55,7 @@ def aggregate_error(components: DataFrame, group: list[str]) -> DataFrame:
     se = F.col("standard_error").cast("double")
     return components.groupBy(*group).agg(
         F.bround(F.sqrt(F.sum(w * w * se * se)) / F.nullif(F.sum(w), F.lit(0.0)), 6)
-        .cast(INDEX)
+        .cast(VALUE)
         .alias("standard_error"),
         F.count("standard_error").alias("components_with_error"),
     )

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from indexwright.functions.labels import is_proxy, rung_meaning
 from indexwright.plans.quality import latest_per_group
-from indexwright.schemas import INDEX
+from indexwright.schemas import VALUE
 
 
 def _with_movement(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("movement", (F.col("index_value") - F.col("prev_index_value")).cast(INDEX))
+    return rows.withColumn("movement", (F.col("index_value") - F.col("prev_index_value")).cast(VALUE))
 
 
 def latest_quotes(quotes: DataFrame, n: int = 50, route: str | None = None) -> DataFrame:

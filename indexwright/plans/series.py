@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from indexwright.functions.labels import movement_band
 from indexwright.functions.rounding import mean_of, percent_change
-from indexwright.schemas import INDEX
+from indexwright.schemas import VALUE
 
 # Assumed airfare weights in the basket and the division weight, in percent.
 MIN_AIRFARE_WEIGHT = "0.15"
@@ -46,7 +46,7 @@ def to_frequency(daily: DataFrame, freq: str, value: str = "index_value") -> Dat
     cast = F.col(value).cast("decimal(30,16)")
     mean = F.bround(
         F.sum(cast).cast("decimal(34,16)").cast("decimal(28,14)") / F.count(cast).cast("decimal(7,0)"), 6
-    ).cast(INDEX)
+    ).cast(VALUE)
     periods = daily.groupBy(
         start.alias("period_start"), end.alias("period_end"), label.alias("period")
     ).agg(mean.alias("index_value"), F.count_distinct(day).alias("days_observed"))
@@ -59,7 +59,7 @@ def to_frequency(daily: DataFrame, freq: str, value: str = "index_value") -> Dat
         .withColumn("days_in_period", length)
         .withColumn("coverage_pct", F.bround(share, 1).cast("decimal(6,1)"))
         .withColumn("is_complete", F.col("days_observed") >= length)
-        .withColumn("movement", (F.col("index_value") - F.col("previous_index_value")).cast(INDEX))
+        .withColumn("movement", (F.col("index_value") - F.col("previous_index_value")).cast(VALUE))
         .withColumn(
             "movement_pct",
             percent_change(F.col("index_value"), F.col("previous_index_value"), 3).cast("decimal(12,3)"),

@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
 INDEX = T.DecimalType(12, 6)
+#: Index values while computing; a stored observation must fit INDEX.
+VALUE = T.DecimalType(18, 6)
 WEIGHT = T.DecimalType(10, 8)
 LAMBDA = T.DecimalType(8, 6)
 SCORE = T.DecimalType(4, 3)

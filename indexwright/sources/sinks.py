@@ -99,8 +99,9 @@ def identity_conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
         incoming.groupBy(*IDENTITY).agg(F.count("*").alias("copies")).filter("copies > 1").select(*IDENTITY)
         .withColumn("conflict", F.lit("REPEATED"))
     )
-    same = [incoming[c].eqNullSafe(existing[c]) for c in IDENTITY]
-    taken = incoming.join(existing, same, "left_semi").select(*IDENTITY).distinct().withColumn(
+    stored = existing.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY]
+    taken = incoming.join(stored, same, "left_semi").select(*IDENTITY).distinct().withColumn(
         "conflict", F.lit("EXISTS")
     )
     return inside.unionByName(taken)

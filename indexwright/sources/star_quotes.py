@@ -80,6 +80,8 @@ def star_quotes(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("quote_id"),
         F.col("origin").alias("source"),
         F.col("l_orderkey").alias("order_key"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("part_key"),
         F.col("o_orderstatus").alias("order_status"),
         F.concat_ws("-", "origin", "destination").alias("route"),
         bucket.alias("bucket"),

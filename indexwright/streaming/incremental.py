@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexwright.operators.durable import settle
 from indexwright.operators.elementary import chain, stratum_days
 from indexwright.operators.matching import collection_calendar, match_periods
 from indexwright.schemas import INDEX, STRATUM, STRATUM_DAY
@@ -67,17 +66,14 @@ def run_incremental(
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{quote_table}/batch={number}")
-        arrived = spark.read.schema(schema).parquet(f"{quote_table}/batch={number}")
+        quotes = spark.read.schema(schema).parquet(quote_table)
+        arrived = quotes.filter(F.col("batch") == number)
         if arrived.isEmpty():
             return
-        quotes = spark.read.schema(schema).parquet(f"{quote_table}/batch=*")
-        stored_schema = "route string, bucket string, obs_date date, index_value decimal(12,6), revision int"
-        earlier = [n for n in range(number) if _exists(spark, f"{index_table}/batch={n}")]
-        stored = (
-            spark.read.schema(stored_schema).parquet(*[f"{index_table}/batch={n}" for n in earlier])
-            if earlier else spark.createDataFrame([], stored_schema)
-        )
-        rows = settle(revised_strata(arrived, quotes, stored, key), "revised")
+        earlier = quotes.filter(F.col("batch") < number)
+        seen = quotes.filter(F.col("batch") <= number)
+        touched = seen if inserts_a_day(arrived, earlier) else arrived
+        rows = revised_strata(touched, seen, _stored(spark, index_table, number), key)
         rows.write.mode("overwrite").parquet(f"{index_table}/batch={number}")
 
     query = (
@@ -93,7 +89,23 @@ def run_incremental(
     return query
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def inserts_a_day(arrived: DataFrame, earlier: DataFrame) -> bool:
+    """Whether arrivals put a new collection day between days already collected.
+
+    Such a day becomes the predecessor of the next one for every stratum, so all
+    strata have to be recomputed, not only those that received quotes.
+    """
+    newest = earlier.agg(F.max("collected_date").alias("d")).scalar()
+    days = arrived.filter(F.col("collected_date") < newest).select("collected_date").distinct()
+    return not days.join(earlier, "collected_date", "left_anti").isEmpty()
+
+
+STORED = "route string, bucket string, obs_date date, index_value decimal(12,6), revision int"
+
+
+def _stored(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """Index rows of the batches before this one; none before the first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(path).filter(F.col("batch") < number).drop("batch")
