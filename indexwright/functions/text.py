@@ -50,6 +50,14 @@ def search_hash(source: Column, route: Column, bucket: Column, travel: Column, c
     return F.sha2(F.concat_ws("|", F.trim(source), F.trim(route), F.trim(bucket), *iso), 256)
 
 
+# Named entities that occur in tariff cells; the ampersand is last.
+NAMED_ENTITIES = [
+    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
+    ("ndash", "–"), ("mdash", "—"), ("pound", "£"), ("euro", "€"),
+    ("amp", "&"),
+]
+
+
 def cell_text(cell: Column) -> Column:
     """Tags out, entities decoded, white space collapsed.
 
@@ -57,57 +65,35 @@ def cell_text(cell: Column) -> Column:
     numeric entity would otherwise glue its code onto the amount.
     """
     bare = F.regexp_replace(cell, "<[^>]+>", " ")
-    codes = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"&#(\d{1,6});"), F.lit(1)))
-    decimal = F.aggregate(
-        codes,
-        bare,
-        lambda text, code: F.replace(
-            text, F.concat(F.lit("&#"), code, F.lit(";")), _char(code.cast("int"))
-        ),
-    )
-    hexes = F.array_distinct(F.regexp_extract_all(decimal, F.lit(r"&#[xX]([0-9a-fA-F]{1,5});"), F.lit(1)))
-    hexed = F.aggregate(
-        hexes,
-        decimal,
-        lambda text, code: F.regexp_replace(
-            text,
-            F.concat(F.lit("&#[xX]"), code, F.lit(";")),
-            F.replace(_char(F.conv(code, 16, 10).cast("int")), F.lit("$"), F.lit("\\$")),
-        ),
-    )
-    text = hexed
-    for name, char in NAMED_ENTITIES:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-
-
-# Named entities that occur in tariff cells; the ampersand is last.
-NAMED_ENTITIES = [
-    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("ndash", "–"), ("mdash", "—"), ("pound", "£"), ("euro", "€"),
-    ("amp", "&"),
-]
+    text = F.when(bare.contains("&"), _unescape(bare)).otherwise(bare)
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
 
 
-def _char(code: Column) -> Column:
-    """A code point as a one-character string, beyond the first 256 as well."""
-    bytes_2 = F.concat(_byte(F.lit(0xC0) + F.shiftright(code, 6)), _tail(code, 0))
-    bytes_3 = F.concat(_byte(F.lit(0xE0) + F.shiftright(code, 12)), _tail(code, 6), _tail(code, 0))
-    bytes_4 = F.concat(
-        _byte(F.lit(0xF0) + F.shiftright(code, 18)), _tail(code, 12), _tail(code, 6), _tail(code, 0)
+def _unescape(text: Column) -> Column:
+    """Numeric entities segment by segment, then the named ones."""
+    pieces = F.split(text, "&#", -1)
+    decoded = F.concat(
+        pieces[0],
+        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _numeric_entity), ""),
     )
-    hexed = (
-        F.when(code < 0x80, _byte(code))
-        .when(code < 0x800, bytes_2)
-        .when(code < 0x10000, bytes_3)
-        .otherwise(bytes_4)
+    for name, char in NAMED_ENTITIES:
+        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
+    return decoded
+
+
+def _numeric_entity(piece: Column) -> Column:
+    """The text after an opening ``&#``: its character and what follows, if it is an entity."""
+    rest = F.regexp_replace(piece, "^[0-9a-zA-Z]+;", "")
+    return (
+        F.when(piece.rlike("^[0-9]{1,7};"), F.concat(_char(F.regexp_extract(piece, "^([0-9]+)", 1).cast("long")), rest))
+        .when(
+            piece.rlike("^[xX][0-9a-fA-F]{1,5};"),
+            F.concat(_char(F.conv(F.regexp_extract(piece, "^.([0-9a-fA-F]+)", 1), 16, 10).cast("long")), rest),
+        )
+        .otherwise(F.concat(F.lit("&#"), piece))
     )
-    return F.decode(F.unhex(hexed), "UTF-8")
-
 
-def _byte(value: Column) -> Column:
-    return F.lpad(F.hex(value.cast("long")), 2, "0")
 
-
-def _tail(code: Column, shift: int) -> Column:
-    return _byte(F.lit(0x80) + F.shiftright(code, shift).bitwiseAND(F.lit(0x3F)))
+def _char(code: Column) -> Column:
+    """A code point as a one-character string."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")

@@ -584,10 +584,11 @@ def _(t):
 @query("a24_near_duplicates", compose(f"""
     SELECT x.quote_id, x.kept_quote_id, route, bucket, strftime(collected_date, '%Y-%m-%d') AS collected_date,
            'NEAR_DUPLICATE_COLLAPSED' AS rule_id
-    FROM (SELECT *, min(quote_id) OVER (PARTITION BY source, carrier, mdep, fare_brand, fare_c, collected_date) AS kept_quote_id
-          FROM (SELECT *, date_trunc('year', departure_at) AS mdep, fare_c // 10000 AS f2 FROM q)
+    FROM (SELECT *, min(quote_id) OVER (PARTITION BY source, carrier, mdep, fare_brand, f2, collected_date) AS kept_quote_id
+          FROM (SELECT *, date_trunc('year', departure_at) AS mdep, fare_c // 100000 AS f2 FROM q)
           WHERE flight_no IS NULL) x WHERE quote_id <> kept_quote_id""", "q"))
 def _(t):
-    # Departures at yearly grain, so that the tables hold repeated offers.
-    coarse = t.quotes.withColumn("departure_at", F.date_trunc("year", "departure_at"))
+    # Departures at yearly grain and fares in thousands, so that the tables hold repeated offers.
+    coarse = t.quotes.withColumn("departure_at", F.date_trunc("year", "departure_at")).withColumn(
+        "total_fare", F.floor(F.col("total_fare") / 1000).cast("decimal(12,2)"))
     return matching.collapse_near_duplicates(coarse)[1]
