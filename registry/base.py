@@ -69,7 +69,7 @@ def present(frame: DataFrame) -> DataFrame:
             column = column.cast("bigint")
         elif isinstance(kind, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
-        elif isinstance(kind, T.TimestampType):
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, T.ArrayType):
             column = F.array_join(column, ",")

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 from indexwright.functions.text import search_hash
 from indexwright.operators import normalise as nq
+from indexwright.operators.durable import settle
 from indexwright.sources import payloads, planning, reference_series, sinks, supplied
 from registry.base import query
 from registry.sql_parts import compose, day
 
+def _stored(frame):
+    """Payloads as the parsers find them: a stored table."""
+    return settle(frame, "payloads")
+
+
 # -- availability and charges ------------------------------------------------------
 
 
@@ -65,7 +71,7 @@ def _availability(t):
     SELECT quote_id AS response_id, CAST(0 AS BIGINT) AS ordinal, origin, destination, carrier, flight_no, fare_brand,
            total_fare FROM q WHERE flight_no IS NOT NULL AND bucket <> 'T45'""", "q"))
 def _(t):
-    parsed = payloads.with_ordinal(payloads.availability_offers(_availability(t)))
+    parsed = payloads.with_ordinal(payloads.availability_offers(_stored(_availability(t))))
     return parsed.select("response_id", "ordinal", "origin", "destination", "carrier", "flight_no", "fare_brand", "total_fare")
 
 
@@ -73,7 +79,7 @@ def _(t):
     SELECT quote_id AS response_id, base_fare, taxes, CAST(25.0 AS DOUBLE) AS udf, CAST(3.25 AS DOUBLE) AS convenience_fee
     FROM q WHERE flight_no IS NOT NULL AND bucket <> 'T45'""", "q"))
 def _(t):
-    parsed = payloads.availability_offers(_availability(t))
+    parsed = payloads.availability_offers(_stored(_availability(t)))
     return parsed.select("response_id", "base_fare", "taxes", "udf", "convenience_fee")
 
 
@@ -108,7 +114,7 @@ def _gds(t):
            CASE WHEN line_no = 2 THEN CAST(1.0 AS DOUBLE) ELSE total_fare END AS total_fare
     FROM q WHERE bucket <> 'T30'""", "q"))
 def _(t):
-    return payloads.gds_offers(_gds(t)).select(
+    return payloads.gds_offers(_stored(_gds(t))).select(
         "response_id", "ordinal", "carrier", "flight_no", "fare_brand",
         F.col("total_fare").cast("decimal(12,2)").alias("total_fare"))
 
@@ -121,7 +127,7 @@ def _(t):
     FROM (SELECT *, line_no <> 1 AND base_c IS NOT NULL AS ok,
                  CASE WHEN line_no = 2 THEN 100 ELSE fare_c END AS tot_c FROM q WHERE bucket <> 'T30')""", "q"))
 def _(t):
-    return payloads.gds_offers(_gds(t)).select("response_id", "base_fare", "taxes", "convenience_fee")
+    return payloads.gds_offers(_stored(_gds(t))).select("response_id", "base_fare", "taxes", "convenience_fee")
 
 
 # -- tariff tables and flat offers ---------------------------------------------------
@@ -142,7 +148,7 @@ def _(t):
         F.when(F.col("part_key") % 3 != 0, F.concat(F.lit("&#x20B9;&nbsp;"), whole)).otherwise("N/A"),
         F.lit("</td><td>Rs 1,200 <i>(12)</i></td></tr>\n<tr><td></td><td>900</td></tr><tr><td>lonely</td></tr></table>"))
     pages = t.quotes.select(F.col("quote_id").alias("response_id"), body.alias("body"))
-    return payloads.tariff_bands(pages).select("response_id", "sector", "fare_category", "declared_fare")
+    return payloads.tariff_bands(_stored(pages)).select("response_id", "sector", "fare_category", "declared_fare")
 
 
 @query("s4_page_rows", """
@@ -218,7 +224,7 @@ def _supplied(t):
     head = q.select(file.alias("file")).distinct().select(
         "file", F.lit(1).cast("bigint").alias("row_number"),
         F.when(F.col("file") == "supply-T45", _HEADER.replace(",carrier", ",operator")).otherwise(_HEADER).alias("line"))
-    return rows.unionByName(head)
+    return _stored(rows.unionByName(head))
 
 
 _SUPPLIED = {"rows": f"""
