@@ -183,19 +183,22 @@ def send_times(allowed: DataFrame, delays: DataFrame) -> DataFrame:
     maximum of (planned - d*j). The rows of a source-day are at most its budget.
     """
     order = Window.partitionBy("source", "day").orderBy("planned_at", "fetch_id")
-    delay = F.coalesce("delay", F.lit(MIN_DELAY_SECONDS))
+    # Whole microseconds keep the running sums exact.
+    gap = (F.coalesce("delay", F.lit(MIN_DELAY_SECONDS)) * 1_000_000).cast("long")
     rows = (
         allowed.join(delays, "source", "left")
-        .withColumn("delay", delay)
+        .withColumn("_gap", gap)
         .withColumn("_i", F.row_number().over(order) - 1)
-        .withColumn("_t", F.unix_micros("planned_at") / 1e6)
+        .withColumn("_t", F.unix_micros(F.col("planned_at").cast("timestamp")))
     )
-    running = F.max(F.col("_t") - F.col("delay") * F.col("_i")).over(
+    running = F.max(F.col("_t") - F.col("_gap") * F.col("_i")).over(
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
-    return rows.withColumn(
-        "send_at", F.timestamp_micros(F.round((running + F.col("delay") * F.col("_i")) * 1e6).cast("long"))
-    ).drop("_i", "_t")
+    return (
+        rows.withColumn("send_at", F.timestamp_micros(running + F.col("_gap") * F.col("_i")))
+        .withColumn("delay", F.col("_gap") / 1_000_000)
+        .drop("_i", "_t", "_gap")
+    )
 
 
 def snapshot_state(snapshots: DataFrame, now: Column) -> DataFrame:
