@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from indexwright.operators.durable import settle
 from indexwright.operators.matching import (
     PAIRED,
-    is_plausible,
     match_periods,
-    price_relative,
+    plausible_log,
     relatives,
 )
 from indexwright.operators.screening import DEFAULT_K, FLAG, screen
@@ -30,7 +29,7 @@ def stratum_days(
     """
     paired = F.col("status") == PAIRED
     if mode == FLAG and not with_flags:
-        log_relative = F.when(paired & is_plausible(), F.log(price_relative()))
+        log_relative = F.when(paired, plausible_log())
         return (
             matched.groupBy(*STRATUM_DAY)
             .agg(

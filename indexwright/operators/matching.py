@@ -100,6 +100,12 @@ def price_relative() -> Column:
     )
 
 
+def plausible_log() -> Column:
+    """Log relative of a plausible pair, NULL for an implausible one."""
+    relative = price_relative()
+    return F.when(relative.isNotNull() & is_plausible(), F.log(relative))
+
+
 def relatives(matched: DataFrame) -> DataFrame:
     """Pairs with their price relative, its log and the plausibility verdict."""
     return (

@@ -30,15 +30,13 @@ def component_state(quotes: DataFrame) -> DataFrame:
     over = _component_sum() > F.col("total_fare")
     under = _component_sum() < F.col("total_fare")
     partial = none | over
-    return (
-        quotes.withColumn("component_sum", F.when(~none, _component_sum()))
-        .withColumn("components_exceed_total", ~none & over)
-        .withColumn(
-            "component_confidence", F.when(partial, "LOW").when(under, "MEDIUM").otherwise("HIGH")
-        )
-        .withColumn("quality_status", F.when(partial, "PARTIAL").otherwise("COMPLETE"))
-        .withColumn("missing_reason", F.when(partial, "PARTIAL_COMPONENTS").otherwise("NONE"))
-    )
+    return quotes.withColumns({
+        "component_sum": F.when(~none, _component_sum()),
+        "components_exceed_total": ~none & over,
+        "component_confidence": F.when(partial, "LOW").when(under, "MEDIUM").otherwise("HIGH"),
+        "quality_status": F.when(partial, "PARTIAL").otherwise("COMPLETE"),
+        "missing_reason": F.when(partial, "PARTIAL_COMPONENTS").otherwise("NONE"),
+    })
 
 
 def quality_score(quotes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job assumes. Skew handling and partition coalescing are
 #: adaptive, so the shuffle partition count only has to be large enough.
@@ -25,6 +25,7 @@ def local_session(name: str = "indexwright", cores: str = "*", partitions: int =
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in JOB_SETTINGS.items():
         builder = builder.config(key, value)
@@ -38,6 +39,17 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Deal a small table out to all cores; leave a large one as it is read.
+
+    A file of a few row groups is read by as many tasks, however many cores wait.
+    Only when the scan has fewer splits than there are cores are its rows
+    repartitioned, which is one shuffle of a table that small.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for durable intermediates.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from indexwright.functions.rounding import half_even_quotient
 from indexwright.operators.normalise import component_state, quality_score
+from indexwright.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,27 +31,39 @@ def _money(cents: Column) -> Column:
 def star_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """One canonical quote per line item whose two regions differ."""
     region, nation = table(spark, folder, "region"), table(spark, folder, "nation")
-    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey", "r_name"
-    )
-    suppliers = table(spark, folder, "supplier").join(
-        places, F.col("s_nationkey") == F.col("n_nationkey")
-    ).select("s_suppkey", F.col("r_name").alias("origin"))
-    customers = table(spark, folder, "customer").join(
-        places, F.col("c_nationkey") == F.col("n_nationkey")
-    ).select("c_custkey", F.col("r_name").alias("destination"))
+
+    def place(role: str) -> tuple[DataFrame, DataFrame]:
+        return (
+            nation.select(F.col("n_nationkey").alias(f"{role}_nation"), F.col("n_regionkey").alias(f"{role}_region")),
+            region.select(F.col("r_regionkey").alias(f"{role}_region"), F.col("r_name").alias(role)),
+        )
+
+    origin_nation, origin = place("origin")
+    destination_nation, destination = place("destination")
     orders = table(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
+    )
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("destination_nation")
+    )
+    suppliers = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("origin_nation")
     )
-    parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
 
+    # Every dimension joins the lines directly, so that its size is that of its
+    # files and the optimizer broadcasts exactly those below its threshold.
     joined = (
-        table(spark, folder, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        spread(table(spark, folder, "lineitem"), "l_orderkey")
+        .join(suppliers, "l_suppkey")
+        .join(origin_nation, "origin_nation")
+        .join(origin, "origin_region")
+        .join(orders, "l_orderkey")
+        .join(customers, "o_custkey")
+        .join(destination_nation, "destination_nation")
+        .join(destination, "destination_region")
         .filter(F.col("origin") != F.col("destination"))
+        .join(parts, "l_partkey")
     )
     bucket = (
         F.when(F.col("o_orderpriority").startswith("1"), "T1")
