@@ -21,15 +21,18 @@ BINS = 4096
 
 
 def large_groups(
-    rows: DataFrame, keys: list[str], limit: int = LARGE_GROUP_ROWS, share: int = LARGE_GROUP_SHARE
+    rows: DataFrame, keys: list[str], limit: int = LARGE_GROUP_ROWS, share: int = LARGE_GROUP_SHARE,
+    copies: str | None = None,
 ) -> DataFrame:
     """Keys of the groups that must not be handled in one task.
 
     A group is large when it has more than ``limit`` rows and more than one part
-    in ``share`` of all rows. By the second condition there are fewer than
+    in ``share`` of all rows (``copies`` names a column that counts rows already
+    merged). By the second condition there are fewer than
     ``share`` such groups, so the result may always be broadcast.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("group_rows"))
+    size = F.sum(copies) if copies else F.count("*")
+    sizes = rows.groupBy(*keys).agg(size.alias("group_rows"))
     everything = sizes.agg(F.sum("group_rows")).scalar()
     return sizes.filter(
         (F.col("group_rows") > limit) & (F.col("group_rows") * share > everything)
@@ -37,7 +40,7 @@ def large_groups(
 
 
 def split_by_size(
-    rows: DataFrame, keys: list[str], limit: int = LARGE_GROUP_ROWS
+    rows: DataFrame, keys: list[str], limit: int = LARGE_GROUP_ROWS, copies: str | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups and rows of large groups, the latter None if there are none.
 
@@ -45,7 +48,7 @@ def split_by_size(
     groups is built only when it is needed. ``rows`` is therefore read twice and
     should be a stored table. Splitting does not shuffle the rows.
     """
-    large = large_groups(rows, keys, limit).select(*keys)
+    large = large_groups(rows, keys, limit, copies=copies).select(*keys)
     if large.isEmpty():
         return rows, None
     large = F.broadcast(large)

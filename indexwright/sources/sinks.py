@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,7 +114,9 @@ def append_observations(incoming: DataFrame, path: str) -> None:
     quantised = incoming.withColumn("index_value", F.bround("index_value", 6).cast(INDEX))
     try:
         existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = spark.createDataFrame([], incoming.schema)
     if not identity_conflicts(quantised, existing).isEmpty():
         raise ValueError("an observation with this identity is already stored")

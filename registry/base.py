@@ -45,8 +45,8 @@ class Inputs:
 
     @cached_property
     def traffic(self) -> DataFrame:
-        """Quotes per route, standing in for passenger volumes."""
-        return self.quotes.groupBy("route").agg(F.count("*").alias("volume"))
+        """Quotes per route, standing in for a stored table of passenger volumes."""
+        return settle(self.quotes.groupBy("route").agg(F.count("*").alias("volume")), "traffic")
 
     @cached_property
     def weights(self) -> DataFrame:

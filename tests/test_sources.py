@@ -43,8 +43,8 @@ def test_availability_keeps_only_exact_non_stop_adult_fares(spark):
     ]
     doc = {"data": {"faresAvailable": [{"key": "k", "value": fares(1)}, {"key": "k", "value": fares(4319.755)}],
                     "results": [{"trips": [{"journeysAvailableByMarket": [{"value": journeys}]}]}]}}
-    rows = payloads.with_ordinal(
-        payloads.availability_offers(_one(spark, json.dumps(doc), origin="DEL", destination="BOM"))).orderBy("ordinal").collect()
+    rows = payloads.availability_offers(
+        _one(spark, json.dumps(doc), origin="DEL", destination="BOM")).orderBy("ordinal").collect()
     assert [r["ordinal"] for r in rows] == [0, 1]
     r = rows[0]
     assert (r["flight_no"], r["fare_brand"], r["total_fare"]) == ("QP1101", "V", D("4319.76"))
