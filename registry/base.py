@@ -46,15 +46,22 @@ class Inputs:
     @cached_property
     def traffic(self) -> DataFrame:
         """Quotes per route, standing in for a stored table of passenger volumes."""
-        return settle(self.quotes.groupBy("route").agg(F.count("*").alias("volume")), "traffic")
+        rows = self.__dict__.get("stored_quotes", self.quotes)
+        return settle(rows.groupBy("route").agg(F.count("*").alias("volume")), "traffic")
 
     @cached_property
     def weights(self) -> DataFrame:
         return weights_from_traffic(self.traffic, 2, "quote volumes")
 
+    @cached_property
+    def stored_quotes(self) -> DataFrame:
+        """The index columns of the quotes as a stored table; a run reads it several times."""
+        index_columns = ["route", "bucket", "pair_key", "collected_date", "total_fare", "provenance"]
+        return settle(self.quotes.select(*index_columns), "quotes")
+
     @cached_property
     def run(self) -> IndexRun:
-        return run_index(self.quotes, self.weights)
+        return run_index(self.stored_quotes, self.weights)
 
 
 def present(frame: DataFrame) -> DataFrame:
