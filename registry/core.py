@@ -289,7 +289,7 @@ def _(t):
 _HOLES = "AND NOT (route = 'ASIA-EUROPE' AND month(obs_date) = 7) AND NOT (bucket = 'T7' AND month(obs_date) = 10)"
 
 _IMPUTE = {
-    **{n: b[1] for n, b in chain_parts("stats", "gap", _HOLES).items() if n == "gap_visits"},
+    "gap_visits": chain_parts("stats", "gap", _HOLES)["gap_visits"][1],
     "firsts": "SELECT route, bucket, min(obs_date) AS first_date FROM gap_visits GROUP BY ALL",
     "grid": """SELECT f.route, f.bucket, f.first_date, c.obs_date FROM firsts f
                JOIN (SELECT DISTINCT obs_date FROM gap_visits) c ON c.obs_date >= f.first_date""",
@@ -346,7 +346,18 @@ def _(t):
     return counts.withColumn("imputation_rate", imputation.imputation_rate(F.col("strata"), F.col("imputed")))
 
 
-@query("a7_index_with_imputation")
+_IMPUTE_ALL = {**_IMPUTE, "gap_visits": chain_parts("stats", "gap")["gap_visits"][1]}
+
+
+@query("a7_index_with_imputation", compose(f"""
+    SELECT f.route, f.bucket, {day('f.obs_date')} AS obs_date, idx AS index_value, prev AS prev_index_value,
+           CAST(coalesce(s.raw_quotes, 0) AS BIGINT) AS raw_quotes,
+           CAST(CASE WHEN prev IS NOT NULL AND NOT imputed AND idx IS NOT NULL THEN s.accepted ELSE coalesce(s.raw_quotes, 0) END AS BIGINT)
+             AS input_quote_count,
+           CAST(CASE WHEN prev IS NULL THEN 0 ELSE coalesce(s.rejected, 0) END AS BIGINT) AS excluded_count,
+           CAST(CASE WHEN prev IS NULL OR (NOT imputed AND idx IS NOT NULL) THEN 0 ELSE 1 END AS BIGINT) AS insufficient
+    FROM fold f LEFT JOIN stats s ON s.route = f.route AND s.bucket = f.bucket AND s.obs_date = f.obs_date""",
+    "stats", extra=_IMPUTE_ALL))
 def _(t):
     return stratum_table(t.quotes, missing="impute")
 

@@ -244,7 +244,7 @@ _SUPPLIED = {"rows": f"""
 
 
 def _validated(t):
-    return supplied.validate_rows(supplied.parse_rows(_supplied(t)), "MOSPI_REGIONAL")
+    return supplied.validate_rows(supplied.parse_rows(_supplied(t)), "REGIONAL_OFFICE")
 
 
 @query("s6_supplied_accepted", compose(f"""

@@ -141,7 +141,7 @@ def test_supplied_files(spark, supply_folder):
     unreadable = supplied.unreadable_files(lines).withColumn("file", name).collect()
     assert [(r["file"], r["reason"]) for r in unreadable] == [
         ("wrong.csv", "missing required column(s): travel_date, destination, carrier, total_fare, currency")]
-    validated = supplied.validate_rows(supplied.parse_rows(lines), "MOSPI_REGIONAL").withColumn("file", name)
+    validated = supplied.validate_rows(supplied.parse_rows(lines), "REGIONAL_OFFICE").withColumn("file", name)
     rejects = supplied.rejected(validated).orderBy("row_number").collect()
     # Blank lines are not rows; the header is row 1.
     assert [(r["row_number"], r["reason"]) for r in rejects] == [(i + 4, reason) for i, (_, reason) in enumerate(BAD)]
