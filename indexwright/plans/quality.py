@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from indexwright.functions.labels import freshness
@@ -29,7 +29,7 @@ def lead_time_profile(quotes: DataFrame, route: str | None = None) -> DataFrame:
     )
     # At most six rows from here on.
     buckets = lead_time_buckets(quotes.sparkSession).drop("lam")
-    base = per_bucket.filter(F.col("bucket") == "T21").select("mean_fare").scalar()
+    base = F.max(F.when(F.col("bucket") == "T21", F.col("mean_fare"))).over(Window.partitionBy())
     joined = per_bucket.join(F.broadcast(buckets), "bucket").withColumn("_base", base)
     relative = F.bround(F.col("mean_fare").cast("double") / F.col("_base").cast("double") * 100, 1)
     return joined.select(
