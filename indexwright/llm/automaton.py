@@ -29,6 +29,7 @@ from indexwright.llm.columnar import ranges, small_batches
 #: Resolved arcs one worker keeps; at that number it starts its table anew.
 ARCS = 2_000_000
 _NEVER = 1 << 62
+_WINDOW = 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,6 +53,8 @@ class MergeAutomaton:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(rank, ids[a], ids[b], ids[a + b])
         self.longest = max(map(len, self.tokens))
+        self.width = {i: len(v) for v, i in self.tokens.items()}
+        self._labels_by_letter()
         self.label |= {t["id"]: t["content"].encode() for t in described["added_tokens"]}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
@@ -90,6 +93,55 @@ class MergeAutomaton:
             held = self.arcs[key] = self._resolve(state, token)
         return held
 
+    def _labels_by_letter(self) -> None:
+        """A trie of all labels: (node, byte) -> node, and the token that ends at a node."""
+        self.next: dict[int, int] = {}
+        self.ending = [-1]
+        self.windows: dict[bytes, tuple[list[int], int]] = {}
+        for label, token in self.tokens.items():
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                node = self.next.get(key, 0)
+                if not node:
+                    node = self.next[key] = len(self.ending)
+                    self.ending.append(-1)
+            self.ending[node] = token
+
+    def _walk(self, node: int, letters: bytes, found: list[int]) -> int:
+        """Read on from a node: append the tokens that end, return the last node or 0."""
+        step, ending = self.next.get, self.ending
+        for byte in letters:
+            node = step(node << 8 | byte, 0)
+            if not node:
+                break
+            token = ending[node]
+            if token >= 0:
+                found.append(token)
+        return node
+
+    def readable(self, word: bytes, at: int) -> list[int]:
+        """Tokens whose labels begin at a place of the word, the longest first.
+
+        What the next four bytes allow is kept in a table; only labels that go on
+        are read further.
+        """
+        window = word[at:at + _WINDOW]
+        held = self.windows.get(window)
+        if held is None:
+            if len(self.windows) >= ARCS:
+                self.windows.clear()
+            found: list[int] = []
+            node = self._walk(0, window, found)
+            held = self.windows[window] = (found[::-1], node)
+        found, node = held
+        if node and len(window) == _WINDOW:
+            more: list[int] = []
+            self._walk(node, word[at + _WINDOW:at + self.longest], more)
+            if more:
+                return more[::-1] + found
+        return found
+
     def encode(self, word: bytes) -> list[int]:
         """Follow arcs, longest labels first; a dead end takes back the last arc.
 
@@ -97,22 +149,26 @@ class MergeAutomaton:
         place of the word is reached twice.
         """
         path: list[int] = []
-        ends: list[int] = []
-        at, size, n = 0, self.longest, len(word)
+        untried: list[Iterator[int]] = []
+        at, n, state, width = 0, len(word), -1, self.width
+        arcs, readable = self.arcs.get, self.readable
+        choices = iter(readable(word, 0))
         while at < n:
-            state = path[-1] if path else -1
-            for width in range(min(size, n - at), 0, -1):
-                token = self.tokens.get(word[at:at + width])
-                if token is not None and (state < 0 or self.arc(state, token)):
-                    path.append(token)
-                    ends.append(at)
-                    at, size = at + width, self.longest
+            for token in choices:
+                held = state < 0 or arcs(state << 32 | token)
+                if held or held is None and self.arc(state, token):
                     break
             else:
                 if not path:
                     raise ValueError("the vocabulary lacks a byte")
-                size = len(self.label[path.pop()]) - 1
-                at = ends.pop()
+                at -= width[path.pop()]
+                choices, state = untried.pop(), path[-1] if path else -1
+                continue
+            path.append(token)
+            untried.append(choices)
+            at, state = at + width[token], token
+            if at < n:
+                choices = iter(readable(word, at))
         return path
 
 

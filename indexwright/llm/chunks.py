@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks one worker remembers; at that number it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Chunks of one generation; a worker remembers the last two generations.
+REMEMBERED = 300_000
 _RUN = re.compile(r"\s\s")
 
 
@@ -45,7 +46,7 @@ class Splitter:
     def words_of(self, chunk: str) -> list[str]:
         """The words of a chunk; a run of Latin letters after at most a space is one."""
         bare = chunk[1:] if chunk[0] == " " else chunk
-        if bare.isalpha() and max(bare) < "\u0250":
+        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
             return [chunk]
         return [chunk[a:b] for _, (a, b) in self.words(chunk)]
 
@@ -58,16 +59,24 @@ class Splitter:
 
 
 class Remembered(dict):
-    """chunk -> ids as bytes of a fixed width, computed when first met."""
+    """chunk -> ids as bytes of a fixed width, computed when first met.
 
-    def __init__(self, ids_of: Callable[[str], list[int]], width: type):
+    A full generation becomes the older one, and the one before it is forgotten;
+    a chunk met again in the older one moves on, so frequent chunks are kept.
+    """
+
+    def __init__(self, ids_of: Callable[[str], list[int]], code: str):
         super().__init__()
-        self.ids_of, self.width = ids_of, width
+        self.ids_of, self.code, self.older = ids_of, code, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        value = self[chunk] = np.array(self.ids_of(chunk), self.width).tobytes()
+        value = self.older.get(chunk)
+        if value is None:
+            value = array(self.code, self.ids_of(chunk)).tobytes()
+        self[chunk] = value
         return value
 
 
@@ -75,7 +84,7 @@ class TextEncoder:
     """Ids of whole texts as one bytes object, from a function of one chunk."""
 
     def __init__(self, splitter: Splitter, ids_of: Callable[[str], list[int]], width: type):
-        self.splitter, self.known = splitter, Remembered(ids_of, width)
+        self.splitter, self.known = splitter, Remembered(ids_of, np.dtype(width).char)
         self.special = {s: np.array([i], width).tobytes() for s, i in splitter.special.items()}
 
     def __call__(self, text: str) -> bytes:
