@@ -27,9 +27,11 @@ from indexwright.llm.chunks import Splitter, TextEncoder
 from indexwright.llm.columnar import ranges, small_batches
 
 #: Resolved arcs one worker keeps; at that number it starts its table anew.
-ARCS = 2_000_000
+ARCS = 500_000
+#: Beginnings of words, of a few bytes, whose labels one worker keeps.
+WINDOWS = 150_000
 _NEVER = 1 << 62
-_WINDOW = 4
+_WINDOW = 5
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,7 +49,8 @@ class MergeAutomaton:
         size = max(self.label) + 1
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
         self.cuts: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
+        self.start, self.resolved = size, 0
+        self.table: list[dict[int, bool]] = [{} for _ in range(size + 1)]
         self.tokens = {v: i for i, v in self.label.items() if len(v) == 1}
         for rank, merge in enumerate(described["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -85,12 +88,13 @@ class MergeAutomaton:
             token, before = self.left[token], rank[token]
 
     def arc(self, state: int, token: int) -> bool:
-        key = state << 32 | token
-        held = self.arcs.get(key)
+        """A transition from the table, resolved when first met; the start has all arcs."""
+        held = self.table[state].get(token)
         if held is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            held = self.arcs[key] = self._resolve(state, token)
+            if self.resolved >= ARCS:
+                self.table, self.resolved = [{} for _ in self.table], 0
+            held = self.table[state][token] = state == self.start or self._resolve(state, token)
+            self.resolved += 1
         return held
 
     def _labels_by_letter(self) -> None:
@@ -123,23 +127,22 @@ class MergeAutomaton:
     def readable(self, word: bytes, at: int) -> list[int]:
         """Tokens whose labels begin at a place of the word, the longest first.
 
-        What the next four bytes allow is kept in a table; only labels that go on
-        are read further.
+        What the next few bytes decide is kept in a table; only where labels go on
+        is more of the word read.
         """
         window = word[at:at + _WINDOW]
         held = self.windows.get(window)
         if held is None:
-            if len(self.windows) >= ARCS:
+            if len(self.windows) >= WINDOWS:
                 self.windows.clear()
             found: list[int] = []
             node = self._walk(0, window, found)
-            held = self.windows[window] = (found[::-1], node)
+            held = self.windows[window] = (found[::-1], node if len(window) == _WINDOW else 0)
         found, node = held
-        if node and len(window) == _WINDOW:
+        if node:
             more: list[int] = []
             self._walk(node, word[at + _WINDOW:at + self.longest], more)
-            if more:
-                return more[::-1] + found
+            return more[::-1] + found if more else found
         return found
 
     def encode(self, word: bytes) -> list[int]:
@@ -149,26 +152,30 @@ class MergeAutomaton:
         place of the word is reached twice.
         """
         path: list[int] = []
-        untried: list[Iterator[int]] = []
-        at, n, state, width = 0, len(word), -1, self.width
-        arcs, readable = self.arcs.get, self.readable
-        choices = iter(readable(word, 0))
+        at, n, state, width = 0, len(word), self.start, self.width
+        windows, table, readable = self.windows.get, self.table, self.readable
+        choices: list[int] | None = None
         while at < n:
+            if choices is None:
+                choices, node = windows(word[at:at + _WINDOW]) or (None, 1)
+                if node:
+                    choices = readable(word, at)
+            row = table[state]
             for token in choices:
-                held = state < 0 or arcs(state << 32 | token)
+                held = row.get(token)
                 if held or held is None and self.arc(state, token):
+                    path.append(token)
+                    at += width[token]
+                    state, choices = token, None
                     break
             else:
                 if not path:
                     raise ValueError("the vocabulary lacks a byte")
-                at -= width[path.pop()]
-                choices, state = untried.pop(), path[-1] if path else -1
-                continue
-            path.append(token)
-            untried.append(choices)
-            at, state = at + width[token], token
-            if at < n:
-                choices = iter(readable(word, at))
+                last = path.pop()
+                at -= width[last]
+                state = path[-1] if path else self.start
+                choices = readable(word, at)
+                choices = choices[choices.index(last) + 1:]
         return path
 
 
@@ -212,7 +219,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = _encoder(content.value)
         for batch in batches:
-            parts = [whole(t) for t in batch.column(1).to_pylist()]
+            parts = whole(batch.column(1).to_pylist())
             bounds = np.cumsum([0, *map(len, parts)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["row", "ids"])

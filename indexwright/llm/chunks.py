@@ -17,8 +17,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks of one generation; a worker remembers the last two generations.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _RUN = re.compile(r"\s\s")
+_MARKS = frozenset(".,;:!?")
 
 
 class Splitter:
@@ -44,54 +45,64 @@ class Splitter:
         return [p for p in self.cut.split(text) if p]
 
     def words_of(self, chunk: str) -> list[str]:
-        """The words of a chunk; a run of Latin letters after at most a space is one."""
+        """The words of a chunk: a run of Latin letters after at most a space, with a mark behind it or not."""
         bare = chunk[1:] if chunk[0] == " " else chunk
         if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
             return [chunk]
+        if bare[-1:] in _MARKS and (stem := bare[:-1]).isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+            return [chunk[:-1], chunk[-1]]
         return [chunk[a:b] for _, (a, b) in self.words(chunk)]
 
-    def pieces(self, part: str) -> list[str]:
+    def pieces(self, part: str) -> tuple[list[str], list[str]]:
+        """Pieces as they are, then pieces that each follow a space, which is left out."""
         if _RUN.search(part):
-            return [part[a:b] for _, (a, b) in self.words(part)]
+            return [part[a:b] for _, (a, b) in self.words(part)], []
         first, *rest = part.split(" ")
-        pieces = [" " + x for x in rest]
-        return [first, *pieces] if first else pieces
+        return [first] if first else [], rest
 
 
 class Remembered(dict):
-    """chunk -> ids as bytes of a fixed width, computed when first met.
+    """piece -> ids as bytes of a fixed width, computed when first met.
 
     A full generation becomes the older one, and the one before it is forgotten;
-    a chunk met again in the older one moves on, so frequent chunks are kept.
+    a piece met again in the older one moves on, so frequent pieces are kept.
     """
 
-    def __init__(self, ids_of: Callable[[str], list[int]], code: str):
+    def __init__(self, before: str, ids_of: Callable[[str], list[int]], code: str):
         super().__init__()
-        self.ids_of, self.code, self.older = ids_of, code, {}
+        self.before, self.ids_of, self.code, self.older = before, ids_of, code, {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
+        value = self.older.get(piece)
+        if value is None:
+            value = array(self.code, self.ids_of(self.before + piece)).tobytes()
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
-        value = self.older.get(chunk)
-        if value is None:
-            value = array(self.code, self.ids_of(chunk)).tobytes()
-        self[chunk] = value
+        self[piece] = value
         return value
 
 
 class TextEncoder:
-    """Ids of whole texts as one bytes object, from a function of one chunk."""
+    """Ids of whole texts as bytes objects, from a function of one piece."""
 
     def __init__(self, splitter: Splitter, ids_of: Callable[[str], list[int]], width: type):
-        self.splitter, self.known = splitter, Remembered(ids_of, np.dtype(width).char)
+        self.splitter = splitter
+        code = np.dtype(width).char
+        self.plain, self.spaced = Remembered("", ids_of, code), Remembered(" ", ids_of, code)
         self.special = {s: np.array([i], width).tobytes() for s, i in splitter.special.items()}
 
-    def __call__(self, text: str) -> bytes:
-        out, lookup = [], self.known.__getitem__
-        for part in self.splitter.parts(text):
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                out.extend(map(lookup, self.splitter.pieces(part)))
-        return b"".join(out)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        special, plain, spaced = self.special, self.plain.__getitem__, self.spaced.__getitem__
+        cut = [[(p, None) if p in special else self.splitter.pieces(p) for p in self.splitter.parts(t)] for t in texts]
+        out = []
+        for parts in cut:
+            ids: list[bytes] = []
+            for first, rest in parts:
+                if rest is None:
+                    ids.append(special[first])
+                else:
+                    ids.extend(map(plain, first))
+                    ids.extend(map(spaced, rest))
+            out.append(b"".join(ids))
+        return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexwright.llm import automaton, credentials, lines, mixing, shards
+from indexwright.llm import automaton, credentials, exact, lines, mixing, shards
 from indexwright.operators.durable import settle
 from indexwright.sources.star_quotes import table
 
@@ -78,6 +78,19 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 
+def op9_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+                  sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+"""
+
+
 def op10_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lines.clean_lines(docs).select(
@@ -113,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op9_exact_copies": op9_exact_copies,
     "op10_line_rules": op10_line_rules,
 }
-ORACLES: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op10_line_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_exact_copies": OP9_SQL, "op10_line_rules": OP10_SQL}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from indexwright.llm.automaton import read_vocabulary
+from indexwright.llm.automaton import byte_letters, read_vocabulary
 from indexwright.llm.chunks import Splitter, TextEncoder
 from indexwright.llm.columnar import mixed, small_batches
 from indexwright.session import checkpoint_dir
@@ -73,10 +73,17 @@ _ENCODERS: dict[tuple[int, str], TextEncoder] = {}
 
 
 def _encoder(content: str, width: type) -> TextEncoder:
+    """The library's own splitter and merges, asked for one new word at a time."""
     key = (hash(content), width.__name__)
     if key not in _ENCODERS:
-        splitter, tokenizer = Splitter(content), Tokenizer.from_str(content)
-        _ENCODERS[key] = TextEncoder(splitter, lambda c: tokenizer.encode(c, add_special_tokens=False).ids, width)
+        splitter, merges = Splitter(content), Tokenizer.from_str(content).model
+        letters = {byte: letter for letter, byte in byte_letters().items()}
+
+        def ids_of(piece: str) -> list[int]:
+            spelled = (w.encode().decode("latin-1").translate(letters) for w in splitter.words_of(piece))
+            return [token.id for word in spelled for token in merges.tokenize(word)]
+
+        _ENCODERS[key] = TextEncoder(splitter, ids_of, width)
     return _ENCODERS[key]
 
 
@@ -106,7 +113,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
         encode, position, last, copy, sink = _encoder(shared.value, width), 0, object(), 0, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            parts = [encode(t) + end for t in batch.column(1).to_pylist()]
+            parts = [x + end for x in encode(batch.column(1).to_pylist())]
             copies = []
             for i in ids:
                 copy = copy + 1 if i == last else 0
