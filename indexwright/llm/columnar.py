@@ -39,7 +39,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     held = _POWERS.get(base)
     if held is None or len(held) < n:
-        held = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+        held = np.full(max(n, PIECE_BYTES + 1), base % 2**64, np.uint64)
         held[0] = 1
         held = np.cumprod(held, dtype=np.uint64)
         if n <= PIECE_BYTES + 1:
@@ -66,14 +66,15 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = end
 
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each row.
+def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, the number of words of each row, and where words begin and end.
 
     Words are maximal runs without the six ASCII spaces; A-Z count as a-z. A
     word's hash is a polynomial of random byte codes, taken from prefix sums.
     """
     if not len(body):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), none, none
     solid = ~_SPACE[body]
     inner = offsets[1:-1]
     inner = inner[inner < len(body)]
@@ -86,13 +87,16 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends[cut] = solid[cut]
     start = np.flatnonzero(begins)
     stop = np.flatnonzero(ends) + 1
-    odd = _ODD | 1
-    sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(_CODES[body] * _powers(odd, len(body)), out=sums[1:])
-    inverse = _powers(pow(odd, -1, 2**64), len(body))
-    hashes = (sums[stop] - sums[start]) * inverse[start]
-    hashes = mixed(hashes + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.diff(np.searchsorted(start, offsets))
+    hashes = run_hashes(_CODES[body], start, stop, _ODD)
+    return hashes, np.diff(np.searchsorted(start, offsets)), start, stop
+
+
+def run_hashes(codes: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of codes[start:stop] for many runs, from prefix sums of a polynomial of an odd base."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _powers(base, len(codes)), out=sums[1:])
+    hashes = (sums[stop] - sums[start]) * _powers(pow(base, -1, 2**64), len(codes) + 1)[start]
+    return mixed(hashes + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

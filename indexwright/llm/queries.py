@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexwright.llm import automaton, credentials, exact, lines, mixing, shards
+from indexwright.llm import automaton, credentials, exact, lines, mixing, shards, sketches
 from indexwright.operators.durable import settle
 from indexwright.sources.star_quotes import table
 
@@ -78,6 +78,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 
+def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_near_copies": op8_near_copies,
     "op9_exact_copies": op9_exact_copies,
     "op10_line_rules": op10_line_rules,
 }
