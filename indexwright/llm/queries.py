@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexwright.llm import automaton, credentials, exact, lines, mixing, shards, sketches
+from indexwright.llm import automaton, credentials, exact, lines, mixing, shards, sketches, spans
 from indexwright.operators.durable import settle
 from indexwright.sources.star_quotes import table
 
@@ -49,6 +49,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(listed(ruled), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = spans.removals(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("first").cast("long").alias("first_sentence"),
+                        F.col("last").cast("long").alias("last_sentence"), "first_doc_ids")
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
     mixed = mixing.mix(settle(docs, "sizes"))
@@ -128,6 +134,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op3_secret_scan": op3_secret_scan,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_mix_sources": op6_mix_sources,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_near_copies": op8_near_copies,
