@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexwright.llm import automaton, credentials, exact, lines, mixing, shards, sketches, spans
+from indexwright.llm import automaton, credentials, exact, interpolation, language, lines, mixing, shards, sketches, spans
 from indexwright.operators.durable import settle
 from indexwright.sources.star_quotes import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", "lang", (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2).alias("held_out"))
+    profiles = language.learn(docs.filter("not held_out").select("text", "lang"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     store = shards.write_store(docs, VOCABULARY, end_id=0)
@@ -49,6 +56,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(listed(ruled), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     found = spans.removals(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("first").cast("long").alias("first_sentence"),
@@ -132,8 +143,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_profiles": op1_language_profiles,
     "op2_token_shards": op2_token_shards,
     "op3_secret_scan": op3_secret_scan,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_mix_sources": op6_mix_sources,
     "op7_bpe_automaton": op7_bpe_automaton,
