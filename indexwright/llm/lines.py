@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from indexwright.operators.durable import settle
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -119,3 +121,22 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         (~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("line_chars"))).alias("kept"),
         clean.alias("clean_text"), "n_lines_removed", "lost_chars",
     )
+
+
+def keep_clean(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The rows that are kept, with their columns, the text without failing lines.
+
+    ``size``, if there is such a column, becomes the length of a text that lost
+    lines. The judged texts are stored once, and the verdict is read from there.
+    """
+    judged = clean_lines(docs, text)
+    changed = {"clean_text": F.when(F.col("kept"), F.col("clean_text"))}
+    stored = settle(judged.withColumns(changed).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.col("clean_text"), "kept", "n_lines_removed"), "judged")
+    out = []
+    for field in docs.schema.fields:
+        column = F.col("clean_text") if field.name == text else F.col(f"row.`{field.name}`")
+        if field.name == size:
+            column = F.when(F.col("n_lines_removed") > 0, F.char_length("clean_text")).otherwise(column).cast(field.dataType)
+        out.append(column.alias(field.name))
+    return stored.filter("kept").select(*out)
