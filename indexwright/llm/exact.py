@@ -147,7 +147,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ow
     verified = texts.groupBy("bare").count().filter("count > 1").select(F.sha2("bare", 256).alias("sha"), F.col("count").alias("size"))
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id"), F.col("part"), F.col("number")))
     # Copies of one text in one part combine before they are sent on.
-    groups = settle(rows.join(verified, "sha").groupBy("sha").agg(best.alias("best"), F.max("size").alias("size")), "copies")
+    groups = settle(rows.groupBy("sha").agg(best.alias("best")).join(verified, "sha"), "copies")
     joined = rows.join(groups, "sha", "left")
     here = (F.col("part") == F.col("best.part")) & (F.col("number") == F.col("best.number"))
     return joined.select(

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from indexwright.operators.durable import settle
 #: Documents whose fold is this are never trained on; those of the second fold train, and tune the weights.
 HELD_OUT, TUNING, FOLDS = 0, 1, 10
 #: Words of one block (at least one document) and of one owner's share.
-BLOCK_TOKENS = 2_000_000
-OWNER_TOKENS = 3_000_000
+BLOCK_TOKENS = 600_000
+OWNER_TOKENS = 2_000_000
 #: Steps of a doubling by which the estimates of tuning words are grouped.
 GRAIN = 4
 ROUNDS = 60
@@ -173,20 +174,20 @@ def _answers(requests: DataFrame, of_pairs: bool) -> DataFrame:
                 "types bigint, tokens bigint, rest_types bigint, tune_tokens bigint")
 
 
-def _counted(blocks: pa.Table, answers: pa.Table) -> tuple[dict, Block, dict[str, np.ndarray]]:
+def _counted(blocks: pa.Table, answers: pa.Table, columns: list[str]) -> tuple[Block, dict[str, np.ndarray]]:
     """A block with, for each token, the counts of its word, of the word before and of the pair."""
-    row = blocks.to_pylist()[0]
-    block = Block.of(row)
+    block = Block.of(blocks.select(["folds", "counts", "vocabulary", "words"]).to_pylist()[0])
     held: dict[str, np.ndarray] = {}
-    parts = sorted(answers.to_pylist(), key=lambda r: r["owner"])
+    answers = answers.sort_by("owner")
     for of_pairs in (False, True):
+        mine = answers.filter(pc.equal(answers["of_pairs"], of_pairs))
         numbers = block.pairs()[1] if of_pairs else block.words
-        for column in ("train", "tune"):
-            counts = np.frombuffer(b"".join(r[column] for r in parts if r["of_pairs"] == of_pairs), np.int64)
+        for column in columns:
+            counts = np.frombuffer(b"".join(mine[column].to_pylist()), np.int64)
             held[("pair_" if of_pairs else "word_") + column] = counts[numbers]
             if not of_pairs:
                 held[f"before_{column}"] = counts[block.before()]
-    return row, block, held
+    return block, held
 
 
 def _bucket(counts: np.ndarray) -> np.ndarray:
@@ -246,7 +247,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     answers = words.unionByName(pairs).select("block", "tuning", "of_pairs", "owner", "train", "tune")
 
     def grouped(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, c = _counted(blocks, answers)
+        _, c = _counted(blocks, answers, ["train", "tune"])
         before = c["before_train"] - c["before_tune"]
         p2, p1 = _estimates(c["pair_train"] - c["pair_tune"], before, c["word_train"] - c["word_tune"], tokens - tune_tokens)
         grain = [np.where(p > 0, np.floor(GRAIN * np.log2(np.where(p > 0, p, 1))), _ABSENT).astype(np.int64) for p in (p2, p1)]
@@ -264,10 +265,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     arrow_kind = to_arrow_type(kind)
 
     def scored(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        _, block, c = _counted(blocks, answers)
+        block, c = _counted(blocks, answers, ["train"])
         p2, p1 = _estimates(c["pair_train"], c["before_train"], c["word_train"], tokens)
-        mix = weights[_bucket(c["before_train"])]
-        model = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (types + 1))
+        bucket = _bucket(c["before_train"])
+        model = np.log10(weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] / (types + 1))
         base = np.log10((c["word_train"] + 0.1) / (tokens + 0.1 * (types + 1)))
         starts = np.cumsum(block.counts) - block.counts
         ids = blocks["ids"].combine_chunks()
@@ -278,5 +279,5 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             "train_tokens": pa.array(np.full(len(starts), tokens)),
             "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(model, starts))})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(answers.drop("tune").groupBy("block")).applyInArrow(
         scored, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
