@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,19 +52,24 @@ def search_hash(source: Column, route: Column, bucket: Column, travel: Column, c
     return F.sha2(F.concat_ws("|", F.trim(source), F.trim(route), F.trim(bucket), *iso), 256)
 
 
-# Named entities that occur in tariff cells; the ampersand is last.
-NAMED_ENTITIES = [
-    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("ndash", "–"), ("mdash", "—"), ("pound", "£"), ("euro", "€"),
-    ("amp", "&"),
-]
+#: All named characters of HTML as one text to search: mark, name, mark, character, mark.
+_NAMES = "\x01" + "\x01".join(f"{name}\x02{char}" for name, char in html.entities.html5.items()) + "\x01"
+
+
+def _named(name: Column) -> Column:
+    """The character (or two) of a name as it stands after the ampersand; NULL for no name."""
+    key = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    at = F.instr(F.lit(_NAMES), key)
+    usual = F.when(name == "nbsp;", "\u00a0").when(name == "amp;", "&").when(name == "lt;", "<").when(name == "gt;", ">").when(name == "quot;", '"')
+    return F.coalesce(usual, F.when((name != "") & (at > 0), F.substring_index(
+        F.substr(F.lit(_NAMES), at + F.length(key), F.lit(4)), "\x01", 1)))
 
 
 def cell_text(cell: Column) -> Column:
     """Tags out, entities decoded, white space collapsed.
 
-    Entities go before digits are looked for: a currency sign written as a
-    numeric entity would otherwise glue its code onto the amount.
+    Entities are decoded first of all, or the code of a currency sign that is
+    written as a number would become part of the amount.
     """
     bare = F.regexp_replace(cell, "<[^>]+>", " ")
     text = F.when(bare.contains("&"), _unescape(bare)).otherwise(bare)
@@ -70,30 +77,51 @@ def cell_text(cell: Column) -> Column:
 
 
 def _unescape(text: Column) -> Column:
-    """Numeric entities segment by segment, then the named ones."""
-    pieces = F.split(text, "&#", -1)
-    decoded = F.concat(
-        pieces[0],
-        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _numeric_entity), ""),
-    )
-    for name, char in NAMED_ENTITIES:
-        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
-    return decoded
+    """Each piece after an ampersand: a number, a name, or no entity at all."""
+    pieces = F.split(text, "&", -1)
+    decoded = F.transform(F.slice(pieces, 2, F.size(pieces)), _entity)
+    return F.concat(pieces[0], F.array_join(decoded, ""))
+
 
+def _entity(piece: Column) -> Column:
+    """The text after an ampersand with its entity decoded.
 
-def _numeric_entity(piece: Column) -> Column:
-    """The text after an opening ``&#``: its character and what follows, if it is an entity."""
-    rest = F.regexp_replace(piece, "^[0-9a-zA-Z]+;", "")
+    Numbers may have any number of digits and need no semicolon. A name with a
+    semicolon is looked up whole; otherwise the longest of the old names, which
+    need none, that the piece begins with.
+    """
+    decimal = F.regexp_extract(piece, "^#([0-9]+);?", 1)
+    hexadecimal = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+);?", 1)
+    name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+    old = F.regexp_extract(piece, f"^({'|'.join(_old_names())})", 1)
     return (
-        F.when(piece.rlike("^[0-9]{1,7};"), F.concat(_char(F.regexp_extract(piece, "^([0-9]+)", 1).cast("long")), rest))
-        .when(
-            piece.rlike("^[xX][0-9a-fA-F]{1,5};"),
-            F.concat(_char(F.conv(F.regexp_extract(piece, "^.([0-9a-fA-F]+)", 1), 16, 10).cast("long")), rest),
-        )
-        .otherwise(F.concat(F.lit("&#"), piece))
+        F.when(decimal != "", F.concat(_char(decimal, 10), F.regexp_replace(piece, "^#[0-9]+;?", "")))
+        .when(hexadecimal != "", F.concat(_char(hexadecimal, 16), F.regexp_replace(piece, "^#[xX][0-9a-fA-F]+;?", "")))
+        .when(_named(name).isNotNull(), F.concat(_named(name), F.substr(piece, F.length(name) + 1)))
+        .when(old != "", F.concat(_named(old), F.substr(piece, F.length(old) + 1)))
+        .otherwise(F.concat(F.lit("&"), piece))
     )
 
 
-def _char(code: Column) -> Column:
-    """A code point as a one-character string."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _old_names() -> list[str]:
+    """Names that need no semicolon, longest first."""
+    return sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+# What numbers of the C1 block stand for (those of windows-1252 where it has a character).
+_C1 = {code: bytes([code]).decode("cp1252") for code in range(128, 160) if code not in (129, 141, 143, 144, 157)}
+
+
+def _char(digits: Column, base: int) -> Column:
+    """A code point as a one-character string; none for a control, U+FFFD for one that is not a character."""
+    significant = F.regexp_replace(digits, "^0+", "")
+    code = F.when(F.length(significant) > 7, F.lit(0x110000)).otherwise(
+        F.coalesce(F.conv(F.nullif(significant, F.lit("")), base, 10).cast("long"), F.lit(0)))
+    known = F.substring(F.lit("".join(_C1.get(c, "\x01") for c in range(128, 160))), code.cast("int") - 127, 1)
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(code.between(128, 159) & (known != "\x01"), known)
+        .when(code.between(1, 8) | code.between(14, 31) | code.between(127, 159) | (code == 11)
+              | code.between(0xFDD0, 0xFDEF) | (code % 65536 >= 0xFFFE), F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )

@@ -165,5 +165,5 @@ def cleaning_events(screened: DataFrame) -> DataFrame:
     )
     return screened.filter(F.col("rule_id").isNotNull()).select(
         "route", "bucket", "obs_date", "pair_key", "kept", "flagged",
-        "observed", "threshold", "rule_id", reason.alias("reason"),
+        "observed", "threshold", "rule_id", reason.alias("reason"), "current_fare",
     )

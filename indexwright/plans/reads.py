@@ -40,15 +40,18 @@ def latest_headline(headline: DataFrame, refused: DataFrame) -> DataFrame:
 def flagged_observations(events: DataFrame, quotes: DataFrame, key: str = "pair_key", n: int = 100) -> DataFrame:
     """Newest flagged or removed pairs with the quotes behind them.
 
-    The quotes of a pair are those at its collapsed (lowest) fare on the day.
+    The quotes of a pair are those at its collapsed (lowest) fare on the day. A
+    pair has at least one, so the newest ``n`` events are taken before the join.
     """
+    order = [F.desc("obs_date"), "route", "bucket", "pair_key"]
     q = quotes.select(
         "quote_id", "route", "bucket", F.col("collected_date").alias("obs_date"),
         F.col(key).alias("pair_key"), "carrier", "flight_no", "total_fare",
     )
+    newest_events = events.withColumnRenamed("current_fare", "total_fare").orderBy(*order).limit(n)
     return (
-        events.join(q, ["route", "bucket", "obs_date", "pair_key"])
-        .orderBy(F.desc("obs_date"), "route", "bucket", "pair_key", "total_fare", "quote_id")
+        q.join(F.broadcast(newest_events), ["route", "bucket", "obs_date", "pair_key", "total_fare"])
+        .orderBy(*order, "quote_id")
         .limit(n)
     )
 

@@ -138,8 +138,10 @@ def two_date_comparison(routes: DataFrame, days: int) -> DataFrame:
     """Each route's latest index against its value exactly ``days`` days before.
 
     The latest date is a scalar subquery, so only two dates are read when the
-    table is partitioned by date. Routes without both values are left out.
+    table is partitioned by date. A route-day that could not be computed is no
+    value, so the latest date is one that has some. Routes without both values are left out.
     """
+    routes = routes.filter(F.col("index_value").isNotNull())
     latest = routes.agg(F.max("obs_date").alias("d")).scalar()
     earlier = F.date_sub(latest, days)
     return two_dates(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings every job assumes. Skew handling and partition coalescing are
 #: adaptive, so the shuffle partition count only has to be large enough.
@@ -39,26 +39,19 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Deal a small table out to all cores; leave a large one as it is read.
-
-    A file of a few row groups is read by as many tasks, however many cores wait.
-    Only when the scan has fewer splits than there are cores are its rows
-    repartitioned, which is one shuffle of a table that small.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for durable intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when nothing is set
-    (a test on one machine) is a temporary folder made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is set and
+    everything runs in one process (a test) is a temporary folder made, once per
+    session; elsewhere its executors would each write a disk of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "folder" not in _FALLBACK:
         _FALLBACK["folder"] = tempfile.mkdtemp(prefix="indexwright-")
     return _FALLBACK["folder"]

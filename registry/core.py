@@ -143,7 +143,7 @@ def _(t):
     SELECT route, bucket, {OBS}, pair_key, 0, 0, round_even(relative, 6), CAST(100.0 AS DOUBLE), 'IMPLAUSIBLE_RELATIVE'
     FROM pairs WHERE NOT plausible""", "judged"))
 def _(t):
-    return screening.cleaning_events(screening.screen(t.pairs)).drop("reason").withColumn(
+    return screening.cleaning_events(screening.screen(t.pairs)).drop("reason", "current_fare").withColumn(
         "observed", F.bround("observed", 6))
 
 
@@ -506,10 +506,18 @@ def _(t):
 
 
 # -- digests, replay, sensitivity --------------------------------------------------
+_TREE = {
+    "leaf": """SELECT route, bucket, collected_date, sha256(pair_key || ':' || printf('%d.%02d', fare_c // 100, fare_c % 100) || '*' || count(*)) AS digest
+               FROM q GROUP BY route, bucket, collected_date, pair_key, fare_c""",
+    "node5": "SELECT route, bucket, collected_date, left(digest, 5) AS place, sha256(string_agg(digest, '|' ORDER BY digest)) AS digest FROM leaf GROUP BY ALL",
+    "node2": "SELECT route, bucket, collected_date, left(place, 2) AS top, sha256(string_agg(digest, '|' ORDER BY place)) AS digest FROM node5 GROUP BY ALL",
+    "tree": "SELECT route, bucket, collected_date, sha256(string_agg(digest, '|' ORDER BY top)) AS input_hash FROM node2 GROUP BY ALL",
+}
+
+
 @query("a12_input_hash", compose("""
     SELECT route, bucket, strftime(collected_date, '%Y-%m-%d') AS collected_date, count(*) AS quotes,
-           sha256(string_agg(pair_key || ':' || printf('%d.%02d', fare_c // 100, fare_c % 100), '|' ORDER BY pair_key, fare_c)) AS input_hash,
-           'SHA256' AS method FROM q GROUP BY ALL""", "q"))
+           any_value(input_hash) AS input_hash FROM q JOIN tree USING (route, bucket, collected_date) GROUP BY ALL""", "q", extra=_TREE))
 def _(t):
     return input_hash(t.quotes, ["route", "bucket", "collected_date"])
 

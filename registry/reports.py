@@ -461,8 +461,8 @@ def _(t):
 # Observations are quarterly in these tables; 92 days before the last quarter is the previous one.
 _MOVES = {"moves": f"""
     SELECT route, now6, then6, {hes('(now6 - then6) * 10000', 'then6')} AS pct2, (now6 - then6) * 100.0 / then6 AS pct FROM (
-      SELECT route, max(i6) FILTER (obs_date = (SELECT max(obs_date) FROM routes)) AS now6,
-             max(i6) FILTER (obs_date = (SELECT max(obs_date) FROM routes) - 92) AS then6 FROM routes GROUP BY route)
+      SELECT route, max(i6) FILTER (obs_date = (SELECT max(obs_date) FROM routes WHERE i6 IS NOT NULL)) AS now6,
+             max(i6) FILTER (obs_date = (SELECT max(obs_date) FROM routes WHERE i6 IS NOT NULL) - 92) AS then6 FROM routes GROUP BY route)
     WHERE now6 IS NOT NULL AND then6 IS NOT NULL""",
     "banded": """SELECT *, CASE WHEN pct >= 5 THEN 'SHARP_RISE' WHEN pct >= 1 THEN 'RISE' WHEN pct > -1 THEN 'STABLE'
                  WHEN pct > -5 THEN 'FALL' ELSE 'SHARP_FALL' END AS band FROM moves"""}
@@ -574,11 +574,11 @@ def _(t):
 
 @query("t4_flagged_observations", compose(f"""
     SELECT e.route, e.bucket, {day('e.obs_date')} AS obs_date, e.pair_key, rule_id, quote_id, flight_no, total_fare
-    FROM (SELECT route, bucket, obs_date, pair_key, CASE WHEN out_small THEN 'EXTREME_SMALL_N_FLAGGED' ELSE 'EXTREME_MAD_FLAGGED' END AS rule_id
+    FROM (SELECT route, bucket, obs_date, pair_key, CASE WHEN out_small THEN 'EXTREME_SMALL_N_FLAGGED' ELSE 'EXTREME_MAD_FLAGGED' END AS rule_id, cur_c
           FROM judged WHERE out_small OR out_large
-          UNION ALL SELECT route, bucket, obs_date, pair_key, 'IMPLAUSIBLE_RELATIVE' FROM pairs WHERE NOT plausible) e
-    JOIN q ON q.route = e.route AND q.bucket = e.bucket AND q.collected_date = e.obs_date AND q.pair_key = e.pair_key
-    ORDER BY e.obs_date DESC, e.route, e.bucket, e.pair_key, fare_c, quote_id LIMIT 100""", "judged"))
+          UNION ALL SELECT route, bucket, obs_date, pair_key, 'IMPLAUSIBLE_RELATIVE', cur_c FROM pairs WHERE NOT plausible) e
+    JOIN q ON q.route = e.route AND q.bucket = e.bucket AND q.collected_date = e.obs_date AND q.pair_key = e.pair_key AND fare_c = e.cur_c
+    ORDER BY e.obs_date DESC, e.route, e.bucket, e.pair_key, quote_id LIMIT 100""", "judged"))
 def _(t):
     events = screening.cleaning_events(screening.screen(t.pairs))
     return reads.flagged_observations(events, t.quotes).select(

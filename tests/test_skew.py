@@ -51,15 +51,16 @@ def test_ranked_quantiles_against_brute_force(spark):
         assert abs(got[g]["p"] - (vs[lo] + (at - lo) * (vs[lo + 1] - vs[lo]))) < 1e-12
 
 
-def test_tree_hash_is_stable_and_marked(spark):
+def test_digest_depends_on_the_group_alone(spark):
     q = spark.range(2000).selectExpr(
         "case when id < 1500 then 'HOT' else 'X' end route", "concat('k', id % 700) pair_key",
         "cast(id % 13 + 1 as decimal(12,2)) total_fare")
-    once = {r["route"]: r for r in input_hash(q, ["route"], limit=600).collect()}
-    again = {r["route"]: r for r in input_hash(q.repartition(9), ["route"], limit=600).collect()}
-    assert once == again
-    assert once["HOT"]["method"] == "SHA256_TREE" and once["X"]["method"] == "SHA256"
-    plain = {r["route"]: r for r in input_hash(q, ["route"]).collect()}
-    assert plain["X"]["input_hash"] == once["X"]["input_hash"]
+    once = {r["route"]: r for r in input_hash(q, ["route"]).collect()}
+    assert once == {r["route"]: r for r in input_hash(q.repartition(9), ["route"]).collect()}
+    more = spark.range(50_000).selectExpr("concat('R', id % 3) route", "concat('k', id) pair_key", "cast(id % 90 + 1 as decimal(12,2)) total_fare")
+    beside = {r["route"]: r for r in input_hash(q.unionByName(more), ["route"]).collect()}
+    assert {k: beside[k] for k in once} == once and once["HOT"]["quotes"] == 1500
     changed = q.withColumn("total_fare", F.when(F.col("pair_key") == "k5", 99).otherwise(F.col("total_fare")).cast("decimal(12,2)"))
-    assert input_hash(changed, ["route"], limit=600).filter("route = 'HOT'").first()["input_hash"] != once["HOT"]["input_hash"]
+    assert input_hash(changed, ["route"]).filter("route = 'HOT'").first()["input_hash"] != once["HOT"]["input_hash"]
+    twice = q.filter("route = 'X'").unionByName(q.filter("route = 'X'"))
+    assert input_hash(twice, ["route"]).first()["input_hash"] != once["X"]["input_hash"]
