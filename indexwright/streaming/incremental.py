@@ -1,8 +1,9 @@
 """Daily incremental ingest as a stream of quote files.
 
-Each run takes whatever has arrived and stops. Repeated offers are dropped within
-the watermark; the strata they touch are recomputed from their stored quotes, and
-days whose value changed are appended as the next revision.
+Each run takes whatever has arrived and stops. Offers that are already stored are
+dropped, however late they come; the strata that quotes touch are recomputed, and
+days whose value changed are appended as the next revision. A day that can no
+longer be computed gets a revision without a value.
 """
 
 from __future__ import annotations
@@ -28,23 +29,33 @@ def revised_strata(
     ``touched`` holds the strata that received quotes. Their whole series is
     recomputed, because a late quote moves every later link of its chain; strata
     that received nothing are not read beyond the semi-join. The calendar is that
-    of all quotes.
+    of all quotes. A stored value that the new run does not have is revised to NULL.
     """
     days = collection_calendar(quotes)
-    affected = quotes.join(touched.select(*STRATUM).distinct(), STRATUM, "left_semi")
+    strata = touched.select(*STRATUM).distinct()
+    affected = quotes.join(strata, STRATUM, "left_semi")
     fresh = chain(stratum_days(match_periods(affected, key, days))).filter("index_value is not null")
-    newest = stored.groupBy(*STRATUM_DAY).agg(
+    newest = stored.join(strata, STRATUM, "left_semi").groupBy(*STRATUM_DAY).agg(
         F.max_by("index_value", "revision").alias("stored_value"), F.max("revision").alias("stored_revision")
     )
-    joined = fresh.join(newest, STRATUM_DAY, "left")
-    changed = ~F.col("index_value").eqNullSafe(F.col("stored_value"))
-    return joined.filter(changed).select(
-        *STRATUM_DAY,
-        F.col("index_value").cast(INDEX).alias("index_value"),
-        (F.coalesce("stored_revision", F.lit(0)) + 1).cast("int").alias("revision"),
+    joined = fresh.select(*STRATUM_DAY, F.col("index_value").cast(INDEX).alias("index_value")).join(newest, STRATUM_DAY, "full")
+    return joined.filter(~F.col("index_value").eqNullSafe(F.col("stored_value"))).select(
+        *STRATUM_DAY, "index_value", (F.coalesce("stored_revision", F.lit(0)) + 1).cast("int").alias("revision"),
     )
 
 
+def unseen(arrived: DataFrame, earlier: DataFrame, identity: list[str]) -> DataFrame:
+    """Arrivals that are not stored yet, each once.
+
+    An identity includes its collection day, so only the days that arrive are read
+    from the stored quotes.
+    """
+    once = arrived.dropDuplicates(identity)
+    days = once.select("collected_date").distinct()
+    held = earlier.join(days, "collected_date", "left_semi").select(*identity)
+    return once.join(held, identity, "left_anti")
+
+
 def run_incremental(
     spark: SparkSession,
     arrivals: str,
@@ -53,33 +64,30 @@ def run_incremental(
     state: str,
     schema: T.StructType,
     identity: list[str] | None = None,
-    event_time: str = "collected_at",
-    lateness: str = "400 days",
     key: str = "pair_key",
 ):
     """Take all new arrivals, store their quotes and append revised indices.
 
-    Returns the finished query. A batch that is replayed after a failure writes
-    the same quote files again under the same batch number, so nothing doubles.
+    Returns the finished query. Quotes are stored by batch and collection day. A
+    batch that is replayed after a failure compares itself with earlier batches
+    only and writes the same files again under the same number, so nothing doubles.
     """
     identity = identity or ["query_hash", "ordinal"]
+    stored_schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{quote_table}/batch={number}")
-        quotes = spark.read.schema(schema).parquet(quote_table)
-        arrived = quotes.filter(F.col("batch") == number)
+        earlier = _stored(spark, quote_table, stored_schema, number)
+        unseen(batch, earlier, identity).write.mode("overwrite").partitionBy("collected_date").parquet(f"{quote_table}/batch={number}")
+        seen = _stored(spark, quote_table, stored_schema, number + 1)
+        arrived = seen.filter(F.col("batch") == number)
         if arrived.isEmpty():
             return
-        earlier = quotes.filter(F.col("batch") < number)
-        seen = quotes.filter(F.col("batch") <= number)
         touched = seen if inserts_a_day(arrived, earlier) else arrived
-        rows = revised_strata(touched, seen, _stored(spark, index_table, number), key)
+        rows = revised_strata(touched, seen, _stored(spark, index_table, STORED, number), key)
         rows.write.mode("overwrite").parquet(f"{index_table}/batch={number}")
 
     query = (
         quote_stream(spark, arrivals, schema)
-        .withWatermark(event_time, lateness)
-        .dropDuplicatesWithinWatermark(identity)
         .writeStream.foreachBatch(each)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
@@ -100,12 +108,15 @@ def inserts_a_day(arrived: DataFrame, earlier: DataFrame) -> bool:
     return not days.join(earlier, "collected_date", "left_anti").isEmpty()
 
 
-STORED = "route string, bucket string, obs_date date, index_value decimal(12,6), revision int"
+STORED = T.StructType([
+    T.StructField("route", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("obs_date", T.DateType()),
+    T.StructField("index_value", INDEX), T.StructField("revision", T.IntegerType()), T.StructField("batch", T.IntegerType()),
+])
 
 
-def _stored(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """Index rows of the batches before this one; none before the first."""
+def _stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
+    """Rows of the batches before a number; none where nothing is stored yet."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], STORED)
-    return spark.read.schema(STORED).parquet(path).filter(F.col("batch") < number).drop("batch")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).filter(F.col("batch") < before)

@@ -252,10 +252,11 @@ def _earlier_parts() -> dict[str, str]:
 
 
 @query("st1_revised_strata", compose(f"""
-    SELECT n.route, n.bucket, {day('n.obs_date')} AS obs_date, n.index_value,
-           CAST(CASE WHEN o.index_value IS NULL THEN 1 ELSE 2 END AS BIGINT) AS revision
-    FROM strata n LEFT JOIN strata_0 o ON o.route = n.route AND o.bucket = n.bucket AND o.obs_date = n.obs_date
-    WHERE n.index_value IS NOT NULL AND n.index_value IS DISTINCT FROM o.index_value""", "strata", extra=_earlier_parts()))
+    SELECT coalesce(n.route, o.route) AS route, coalesce(n.bucket, o.bucket) AS bucket, {day('coalesce(n.obs_date, o.obs_date)')} AS obs_date,
+           n.index_value, CAST(CASE WHEN o.index_value IS NULL THEN 1 ELSE 2 END AS BIGINT) AS revision
+    FROM strata n FULL JOIN strata_0 o ON o.route = n.route AND o.bucket = n.bucket AND o.obs_date = n.obs_date
+    WHERE n.index_value IS DISTINCT FROM o.index_value
+      AND EXISTS (SELECT 1 FROM q WHERE part_key % 50 = 0 AND q.route = coalesce(n.route, o.route) AND q.bucket = coalesce(n.bucket, o.bucket))""", "q", "strata", extra=_earlier_parts()))
 def _(t):
     late = F.col("part_key") % 50 == 0
     stored = stratum_index(t.quotes.filter(~late)).filter("index_value is not null").select(

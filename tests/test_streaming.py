@@ -32,14 +32,35 @@ def test_incremental_matches_full(spark, tmp_path):
         run_incremental(spark, *places, schema)
     everything = spark.read.schema(schema).parquet(places[1])
     assert everything.count() == sum(a.count() for a in arrivals) - 3
-    want = {tuple(r) for r in stratum_index(everything).filter("index_value is not null").select(
+    _same_as_full_run(spark, everything, places[2])
+    assert spark.read.parquet(places[2]).filter("revision = 2").count() > 0
+
+
+def _same_as_full_run(spark, quotes, index_table):
+    want = {tuple(r) for r in stratum_index(quotes).filter("index_value is not null").select(
         "route", "bucket", "obs_date", "index_value").collect()}
-    stored = spark.read.parquet(places[2])
-    newest = stored.groupBy("route", "bucket", "obs_date").agg(F.max_by("index_value", "revision").alias("v"))
-    have = {tuple(r) for r in newest.collect()}
-    # A figure that can no longer be computed keeps its last stored value.
-    assert want <= have
-    assert stored.filter("revision = 2").count() > 0
+    newest = spark.read.parquet(index_table).groupBy("route", "bucket", "obs_date").agg(F.max_by("index_value", "revision").alias("v"))
+    assert {tuple(r) for r in newest.filter("v is not null").collect()} == want
+
+
+def test_very_late_quotes_count_and_dead_days_are_revised(spark, tmp_path):
+    """Quotes that come three years late enter, and a day they leave without a match loses its value."""
+    places = [str(tmp_path / n) for n in ("in", "quotes", "index", "state")]
+    arrivals = [
+        _quotes(spark, ["2026-07-01", "2026-07-04"]),
+        _quotes(spark, ["2023-07-02"]),
+        # A day between, of other products: the last day's predecessor has no product of it.
+        _quotes(spark, ["2026-07-02"]).withColumn("pair_key", F.concat(F.lit("z"), "pair_key")),
+    ]
+    schema = arrivals[0].schema
+    for part in arrivals:
+        part.coalesce(1).write.mode("append").parquet(places[0])
+        run_incremental(spark, *places, schema)
+    everything = spark.read.schema(schema).parquet(places[1])
+    assert everything.count() == sum(a.count() for a in arrivals)
+    assert everything.filter("collected_date = '2023-07-02'").count() > 0
+    assert spark.read.parquet(places[2]).filter("index_value is null").count() > 0
+    _same_as_full_run(spark, everything, places[2])
 
 
 def test_inserting_a_day_is_noticed(spark):
