@@ -69,9 +69,9 @@ def elementary(stats: DataFrame, min_quotes: int = MIN_QUOTES) -> DataFrame:
         "gm_relative", F.when(enough, F.bround(F.exp("mean_log"), 6).cast(VALUE))
     ).withColumn(
         "reason",
-        F.when(F.col("pairs") == 0, "no matched pairs: nothing to chain from")
+        F.when(F.col("pairs") == 0, "no product was seen on both days")
         .when(~enough, F.format_string(
-            "%d accepted pair(s) is below the minimum of %d", F.col("accepted"), F.lit(min_quotes))),
+            "%d pairs kept, %d needed", F.col("accepted"), F.lit(min_quotes))),
     )
 
 

@@ -74,7 +74,7 @@ def normalise(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
         for c in COMPONENTS if c in have
     ]
     reason = F.coalesce(
-        F.when(F.length(carrier) != 2, "carrier must be a 2-character code"),
+        F.when(F.length(carrier) != 2, "carrier code is not two characters"),
         F.when(amount["total_fare"].isNull(), "total_fare is not a parseable amount"),
         F.when(amount["total_fare"] <= 0, "total_fare must be positive"),
         F.when(currency != "INR", "currency is out of scope"),

@@ -153,7 +153,7 @@ def cleaning_events(screened: DataFrame) -> DataFrame:
     """The verdicts worth recording, with a reason in words."""
     reason = (
         F.when(F.col("rule_id") == RULE_IMPLAUSIBLE, F.lit(
-            "relative outside [0.01, 100]: a broken value, not an unusual price"))
+            "ratio below 0.01 or above 100"))
         .when(F.col("rule_id") == RULE_SMALL_FLAG, F.format_string(
             "n=%d: extreme for this stratum, kept and counted", F.col("n")))
         .when(F.col("rule_id") == RULE_SMALL_CLAMP, F.format_string(

@@ -86,7 +86,7 @@ def _rule_pattern(value: Column) -> Column:
 
 
 def path_verdicts(paths: DataFrame, snapshots: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether each (source, path) may be fetched and which rule decided it.
+    """The deciding rule of each (source, path), and whether it allows the path.
 
     The longest matching rule wins and Allow wins a tie. Rules join by source; the
     rules of one source are the lines of one small file.

@@ -22,7 +22,7 @@ ATTRIBUTES = [
 ]
 COLUMNS = [*DIMENSIONS, MEASURE, *ATTRIBUTES]
 
-USAGE = "Only movements are comparable with other series. Index values are strings, not JSON numbers."
+USAGE = "Compare movements, not levels, with other series. Values are text so that no digit is lost."
 
 
 def dataset_schema() -> T.StructType:

@@ -23,7 +23,17 @@ _FIGURES = {"fig": """
            CASE WHEN left(o_orderpriority, 1) = '1' THEN '' ELSE o_orderpriority END AS route,
            CAST(round(o_totalprice * 100) AS BIGINT) / 100.0 AS v, o_orderkey % 10 = 3 AS fixes,
            o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 11 = 0) AS published,
-           o_orderstatus = 'F' AND o_custkey % 7 = 0 AS withdrawn FROM orders"""}
+           o_orderstatus = 'F' AND o_custkey % 7 = 0 AS withdrawn FROM orders""",
+    # What the rules make of the events: first of figures, then of corrections by their target.
+    "plain": """
+    SELECT *, st IN ('P', 'F') AND k % 13 <> 0 AS signed, published AND st IN ('P', 'F') AND k % 13 <> 0 AND k % 17 <> 0 AS came_out FROM fig WHERE NOT fixes""",
+    "fixed": """
+    SELECT f.*, coalesce(p.came_out AND p.d + INTERVAL 2 DAY < f.d
+                         AND (NOT (p.withdrawn AND p.k % 19 <> 0) OR p.d + INTERVAL 3 DAY >= f.d), FALSE) AS signed
+    FROM fig f LEFT JOIN plain p ON p.k = f.k - 1 WHERE f.fixes""",
+    "law": """
+    SELECT *, came_out AND withdrawn AND k % 19 <> 0 AS gone FROM (
+      SELECT * FROM plain UNION ALL SELECT *, published AND signed AS came_out FROM fixed)"""}
 
 
 def _figures(t):
@@ -67,48 +77,42 @@ def _events(t):
 
 
 @query("k1_transition_violations", compose("""
-    SELECT obs_id, action, violation FROM (
-      SELECT obs_id, 'APPROVE' AS action, 'an approval needs a named person' AS violation FROM fig
-        WHERE NOT fixes AND st IN ('P', 'F') AND k % 13 = 0
-      UNION ALL SELECT obs_id, 'PUBLISH', 'only an APPROVED figure can be published' FROM fig WHERE NOT fixes AND st = 'O' AND published
-      UNION ALL SELECT obs_id, 'PUBLISH', 'published before its scheduled release' FROM fig WHERE NOT fixes AND st = 'F' AND k % 17 = 0
-      UNION ALL SELECT obs_id, 'WITHDRAW', 'a revision or withdrawal must state its reason' FROM fig WHERE withdrawn AND k % 19 = 0
-      UNION ALL SELECT f.obs_id, 'REVISE', 'only a PUBLISHED figure can be revised' FROM fig f LEFT JOIN fig p ON p.k = f.k - 1
-        WHERE f.fixes AND NOT coalesce(p.published AND p.d + INTERVAL 2 DAY < f.d AND (NOT p.withdrawn OR p.d + INTERVAL 3 DAY >= f.d), FALSE))
+    SELECT obs_id, 'APPROVE' AS action, 'UNNAMED_APPROVER' AS violation FROM law WHERE NOT fixes AND st IN ('P', 'F') AND k % 13 = 0
+    UNION ALL SELECT obs_id, 'REVISE', 'TARGET_NOT_PUBLISHED' FROM law WHERE fixes AND NOT signed
+    UNION ALL SELECT obs_id, 'PUBLISH', CASE WHEN signed THEN 'EARLY_RELEASE' ELSE 'NOT_APPROVED' END FROM law WHERE published AND NOT came_out
+    UNION ALL SELECT obs_id, 'WITHDRAW', CASE WHEN k % 19 = 0 THEN 'NO_REASON' ELSE 'NOT_PUBLISHED' END FROM law WHERE withdrawn AND NOT gone
     """, extra=_FIGURES))
 def _(t):
     return publication.transition_violations(_events(t)).select("obs_id", "action", "violation")
 
 
-_CURRENT = """f.published AND NOT f.withdrawn AND NOT EXISTS (SELECT 1 FROM fig n WHERE n.fixes AND n.k = f.k + 1)"""
+_CURRENT = """f.came_out AND NOT f.gone AND NOT EXISTS (SELECT 1 FROM law n WHERE n.fixes AND n.signed AND n.k = f.k + 1)"""
 
 
 @query("k2_current_published", compose(f"""
     SELECT obs_id, {day('d')} AS obs_date, v AS index_value,
-           CASE WHEN fixes THEN 'bob' WHEN st = 'F' THEN CASE WHEN k % 13 = 0 THEN ' ' ELSE 'ann' END ELSE 'unattributed' END AS approved_by,
+           CASE WHEN fixes THEN 'bob' ELSE 'ann' END AS approved_by,
            strftime(d + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS published_at,
            CAST(fixes AS BIGINT) AS is_revised, CASE WHEN fixes THEN 'recomputed' END AS revision_reason
-    FROM fig f WHERE level = 'HEADLINE' AND {_CURRENT}""", extra=_FIGURES))
+    FROM law f WHERE level = 'HEADLINE' AND {_CURRENT}""", extra=_FIGURES))
 def _(t):
     return publication.current_published(_figures(t), _events(t), "HEADLINE").select(
         "obs_id", "obs_date", "index_value", "approved_by", "published_at", "is_revised", "revision_reason")
 
 
 @query("k3_published_as_of", compose("""
-    SELECT obs_id, v AS index_value FROM fig f
-    WHERE published AND d + INTERVAL 2 DAY <= TIMESTAMP '1998-01-01' AND NOT (withdrawn AND d + INTERVAL 3 DAY <= TIMESTAMP '1998-01-01')
-      AND NOT EXISTS (SELECT 1 FROM fig n WHERE n.fixes AND n.k = f.k + 1 AND n.d <= TIMESTAMP '1998-01-01')""", extra=_FIGURES))
+    SELECT obs_id, v AS index_value FROM law f
+    WHERE came_out AND d + INTERVAL 2 DAY <= TIMESTAMP '1998-01-01' AND NOT (gone AND d + INTERVAL 3 DAY <= TIMESTAMP '1998-01-01')
+      AND NOT EXISTS (SELECT 1 FROM law n WHERE n.fixes AND n.signed AND n.k = f.k + 1 AND n.d <= TIMESTAMP '1998-01-01')""", extra=_FIGURES))
 def _(t):
     moment = F.lit("1998-01-01 00:00:00").cast("timestamp")
     return publication.current_published(_figures(t), _events(t), as_of=moment).select("obs_id", "index_value")
 
 
-@query("j4_superseded_excluded", compose("""
-    SELECT level, count(*) AS published, count(*) FILTER (NOT EXISTS (SELECT 1 FROM fig n WHERE n.fixes AND n.k = f.k + 1)) AS standing
-    FROM fig f WHERE published AND NOT withdrawn GROUP BY level""".replace(
-    "count(*) FILTER (NOT EXISTS (SELECT 1 FROM fig n WHERE n.fixes AND n.k = f.k + 1))",
-    "count(*) - (SELECT count(*) FROM fig g JOIN fig n ON n.fixes AND n.k = g.k + 1 WHERE g.published AND NOT g.withdrawn AND g.level = f.level)"),
-    extra=_FIGURES))
+@query("j4_superseded_excluded", compose(f"""
+    SELECT level, count(*) AS published, CAST(sum(CASE WHEN {_CURRENT} THEN 1 ELSE 0 END) AS BIGINT) AS standing
+    FROM law f WHERE came_out AND NOT gone GROUP BY level""".replace("NOT EXISTS (SELECT 1 FROM law n WHERE n.fixes AND n.signed AND n.k = f.k + 1)",
+                                                                     "f.k + 1 NOT IN (SELECT k FROM law WHERE fixes AND signed)"), extra=_FIGURES))
 def _(t):
     figures, events = _figures(t), _events(t)
     states = publication.publication_state(events).filter("state = 'PUBLISHED'")
@@ -120,7 +124,7 @@ def _(t):
 @query("k4_published_export", compose(f"""
     SELECT 'D' AS "FREQ", {day('d')} AS "TIME_PERIOD", level AS "LEVEL", route AS "ROUTE", '' AS "LEAD_TIME", v AS "OBS_VALUE",
            'm1' AS "METHODOLOGY_VERSION", 'w1' AS "WEIGHT_SET_VERSION", CAST(CASE WHEN fixes THEN 2 ELSE 1 END AS BIGINT) AS "REVISION",
-           'PUBLISHED' AS "OBS_STATUS" FROM fig WHERE level = 'ROUTE' AND published AND NOT withdrawn""", extra=_FIGURES))
+           'PUBLISHED' AS "OBS_STATUS" FROM law WHERE level = 'ROUTE' AND came_out AND NOT gone""", extra=_FIGURES))
 def _(t):
     return publication.published_export(_figures(t), _events(t), "ROUTE").drop("STD_ERROR", "PROVENANCE")
 

@@ -470,7 +470,7 @@ def _offers(t):
 
 
 _NORM = {"offers": """
-    SELECT *, CASE WHEN part_key % 19 = 0 THEN 'carrier must be a 2-character code'
+    SELECT *, CASE WHEN part_key % 19 = 0 THEN 'carrier code is not two characters'
         WHEN part_key % 23 <> 0 AND part_key % 29 = 0 THEN 'total_fare is not a parseable amount'
         WHEN part_key % 23 = 0 THEN 'total_fare must be positive'
         WHEN part_key % 17 = 0 THEN 'currency is out of scope'

@@ -33,7 +33,7 @@ def test_normalise(spark):
     assert scored[0]["carrier"] == "6E" and scored[0]["flight_no"] == "6E1" and scored[0]["fare_brand"] is None
     assert scored[2]["components_exceed_total"]
     assert [r["reject_reason"] for r in bad.collect()] == [
-        "carrier must be a 2-character code", "total_fare must be positive", "currency is out of scope",
+        "carrier code is not two characters", "total_fare must be positive", "currency is out of scope",
         "total_fare is not a parseable amount", "base_fare is not a parseable amount"]
 
 
@@ -174,9 +174,8 @@ def test_publication(spark):
         ("c", "2026-07-03", "APPROVE", " ", None, "2026-07-09", None), ("c", "2026-07-04", "PUBLISH", None, None, None, None),
         ("c", "2026-07-05", "WITHDRAW", None, " ", None, None)])
     got = [(r["obs_id"], r["action"], r["violation"]) for r in publication.transition_violations(events).orderBy("event_ts").collect()]
-    assert got == [("c", "SUBMIT", "already in the release lifecycle"), ("c", "APPROVE", "an approval needs a named person"),
-                   ("c", "PUBLISH", "published before its scheduled release"),
-                   ("c", "WITHDRAW", "a revision or withdrawal must state its reason")]
+    assert got == [("c", "SUBMIT", "RESUBMITTED"), ("c", "APPROVE", "UNNAMED_APPROVER"),
+                   ("c", "PUBLISH", "NOT_APPROVED"), ("c", "WITHDRAW", "NO_REASON")]
     obs = spark.createDataFrame([(i, "2026-06-30", "HEADLINE") for i in "abc"], "obs_id string, obs_date string, level string")
     # The correction is only approved, yet what it corrects is already out.
     assert publication.current_published(obs, events).count() == 0
@@ -184,6 +183,23 @@ def test_publication(spark):
     assert [r["obs_id"] for r in past] == ["a"] and past[0]["approved_by"] == "ann"
 
 
+def test_forbidden_events_have_no_effect(spark):
+    events = _events(spark, [
+        # Out before its day, then on it.
+        ("a", "2026-07-01", "SUBMIT", None, None, None, None), ("a", "2026-07-02", "APPROVE", " ann ", None, "2026-07-05", None),
+        ("a", "2026-07-03", "PUBLISH", None, None, None, None), ("a", "2026-07-06", "PUBLISH", None, None, None, None),
+        # Corrections: too early, in time, of a correction, and of a figure that is gone by then.
+        ("b", "2026-07-05", "REVISE", "bob", "file", None, "a"), ("b", "2026-07-08", "PUBLISH", None, None, None, None),
+        ("c", "2026-07-07", "REVISE", "bob", "file", None, "a"), ("c", "2026-07-08", "PUBLISH", None, None, None, None),
+        ("d", "2026-07-09", "REVISE", "cy", "again", None, "c"), ("d", "2026-07-10", "PUBLISH", None, None, None, None),
+        ("d", "2026-07-11", "WITHDRAW", None, "wrong", None, None), ("e", "2026-07-12", "REVISE", "cy", "late", None, "d")])
+    got = {(r["obs_id"], str(r["event_ts"])[:10], r["violation"]) for r in publication.transition_violations(events).collect()}
+    assert got == {("a", "2026-07-03", "EARLY_RELEASE"), ("b", "2026-07-05", "TARGET_NOT_PUBLISHED"), ("b", "2026-07-08", "NOT_APPROVED"),
+                   ("e", "2026-07-12", "TARGET_NOT_PUBLISHED")}
+    states = {r["obs_id"]: (r["state"], r["approved_by"]) for r in publication.publication_state(events).collect()}
+    assert states == {"a": ("PUBLISHED", "ann"), "c": ("PUBLISHED", "bob"), "d": ("WITHDRAWN", "cy")}
+
+
 ROBOTS = """# comment
 User-agent: a
 User-agent: IndexBot
