@@ -60,9 +60,14 @@ def stratum_table(
     k: float = DEFAULT_K,
     min_quotes: int = MIN_QUOTES,
     missing: str = "drop",
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Stratum observations; ``missing`` is "drop" or "impute"."""
-    stats = stratum_days(match_periods(quotes, key), mode, k)
+    """Stratum observations; ``missing`` is "drop" or "impute".
+
+    Strata do not depend on one another but for the calendar, so those of some
+    routes can be had from their quotes and the calendar of all (``days``).
+    """
+    stats = stratum_days(match_periods(quotes, key, days), mode, k)
     if missing == "drop":
         return chain(stats, min_quotes)
     stats = settle(stats, "stratum-days")

@@ -29,38 +29,29 @@ def _money(cents: Column) -> Column:
 
 def star_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """One canonical quote per line item whose two regions differ."""
-    region, nation = table(spark, folder, "region"), table(spark, folder, "nation")
+    # A nation has one region, so both are one small table for each role.
+    region = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    places = table(spark, folder, "nation").join(region, "n_regionkey").select("n_nationkey", "r_name")
 
-    def place(role: str) -> tuple[DataFrame, DataFrame]:
-        return (
-            nation.select(F.col("n_nationkey").alias(f"{role}_nation"), F.col("n_regionkey").alias(f"{role}_region")),
-            region.select(F.col("r_regionkey").alias(f"{role}_region"), F.col("r_name").alias(role)),
-        )
+    def place(role: str) -> DataFrame:
+        return F.broadcast(places.select(F.col("n_nationkey").alias(f"{role}_nation"), F.col("r_name").alias(role)))
 
-    origin_nation, origin = place("origin")
-    destination_nation, destination = place("destination")
-    orders = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
-    )
+    # Small joins small first; the lines then meet orders, suppliers and parts once each,
+    # and only lines between regions go on to the parts.
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("destination_nation")
-    )
+    ).join(place("destination"), "destination_nation").drop("destination_nation")
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
+    ).join(customers, "o_custkey").drop("o_custkey")
     suppliers = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("origin_nation")
-    )
+    ).join(place("origin"), "origin_nation").drop("origin_nation")
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-
-    # Every dimension joins the lines directly, so that its size is that of its
-    # files and the optimizer broadcasts exactly those below its threshold.
     joined = (
         table(spark, folder, "lineitem")
         .join(suppliers, "l_suppkey")
-        .join(origin_nation, "origin_nation")
-        .join(origin, "origin_region")
         .join(orders, "l_orderkey")
-        .join(customers, "o_custkey")
-        .join(destination_nation, "destination_nation")
-        .join(destination, "destination_region")
         .filter(F.col("origin") != F.col("destination"))
         .join(parts, "l_partkey")
     )

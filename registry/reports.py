@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from indexwright.functions.labels import departure_band, movement_band
 from indexwright.operators import constraints, specification
+from indexwright.operators.aggregate import route_index
+from indexwright.operators.matching import collection_calendar
 from indexwright.operators import screening
 from indexwright.plans import lineage, quality, reads, series
+from indexwright.plans.index_run import stratum_table
 from registry.base import query
 from registry.sql_parts import compose, day, he, hes
 
@@ -594,7 +597,10 @@ def _(t):
     from indexwright.operators.weights import equal_weights
     older = equal_weights(t.quotes, "placeholder").withColumn("effective_from", F.lit("2020-01-01").cast("date"))
     newer = t.weights.withColumn("effective_from", F.lit("2024-01-01").cast("date"))
-    return reads.route_history(t.run.routes, older.unionByName(newer), "asia-europe").select(
+    # Only the route's own quotes are matched and chained, against the calendar of all.
+    own = t.quotes.filter(F.col("route") == "ASIA-EUROPE")
+    routes = route_index(stratum_table(own, days=collection_calendar(t.quotes)))
+    return reads.route_history(routes, older.unionByName(newer), "asia-europe").select(
         "route", "obs_date", "index_value", "movement", "weight", "is_proxy", "rung_meaning")
 
 
