@@ -9,8 +9,9 @@ probability of the sets' similarity, with concentration.
 
 Equal sets are one class. Classes that agree in a band of bins are candidates:
 first each with the least class of the band, and then, in bands whose classes
-are still in several components, those of different components. Every link is
-confirmed on the whole sets.
+are still in several components, those of different components whose whole
+sketches agree enough. These are compared in blocks of bounded size, and only
+what may be a link leaves a block. Every link is confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ WORDS = 5
 LEAST = 85
 #: Two sets of that similarity share one of 36 bands of 7 bins but for one pair in a million.
 BANDS, ROWS = 36, 7
-BINS = BANDS * ROWS
+#: The other bins serve the estimate only: its standard error is 0.016 at that similarity.
+BINS = 2 * BANDS * ROWS
+#: A pair may be a link if its estimate is not 4.5 standard errors below.
+MAYBE = LEAST / 100 - 4.5 * (LEAST / 100 * (1 - LEAST / 100) / BINS) ** 0.5
+#: Classes of one block.
+BLOCK = 1000
 _WEIGHTS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(WORDS)]
 
 
@@ -100,8 +106,35 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
+def last_bytes(sketches: np.ndarray) -> np.ndarray:
+    """Eight bits of each bin, by which two bins are compared."""
+    return (mixed(sketches) & np.uint64(0xFF)).astype(np.uint8)
+
+
+def _maybe(group: pa.Table) -> pa.Table:
+    """Pairs of one block whose sketches agree enough: each pair in the first band they share."""
+    band, i, j = (group[c][0].as_py() for c in ("band", "i", "j"))
+    chunk = group["chunk"].to_numpy()
+    classes, sizes, component = (group[c].to_numpy() for c in ("class", "n", "component"))
+    bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(-1, BINS)
+    shared = np.array(group["bands"].to_pylist(), np.int64)
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    least = BINS * (MAYBE * 255 + 1) / 256  # unequal bins agree by chance in one of 256
+    a, b = [], []
+    for at in left.tolist():
+        others = right[right > at] if i == j else right
+        others = others[(component[others] != component[at]) & (100 * np.minimum(sizes[others], sizes[at]) >= LEAST * np.maximum(sizes[others], sizes[at]))]
+        others = others[(bits[others] == bits[at]).sum(axis=1) >= least]
+        first = (shared[others] == shared[at]).argmax(axis=1) if len(others) else others
+        for other in others[shared[at][first] == band].tolist():
+            x, y = classes[at], classes[other]
+            a.append(min(x, y))
+            b.append(max(x, y))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def sketched(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, row, n_shingles, h1, h2, bands``: a number of the row, the set's 128-bit hash and its bands."""
+    """``doc_id, row, n_shingles, h1, h2, bands, bits``: a number of the row, the set's 128-bit hash, its bands and bins."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -112,17 +145,19 @@ def sketched(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             sets = shingle_sets(batch.column(1))
             n = len(sets)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(n, 2)
-            found = bands(sketch(sets)).view(np.int64)
+            filled = sketch(sets)
+            found, bits = bands(filled).view(np.int64), last_bytes(filled)
             some = np.array([len(s) > 0 for s in sets], bool)
             bounds = np.concatenate(([0], np.cumsum(some * BANDS)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.arange(row, row + n)), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found[some].ravel()))],
-                ["doc_id", "row", "n_shingles", "h1", "h2", "bands"])
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found[some].ravel())),
+                 pa.array([x.tobytes() for x in bits], pa.binary())],
+                ["doc_id", "row", "n_shingles", "h1", "h2", "bands", "bits"])
             row += n
 
-    return slim.mapInArrow(made, f"doc_id {kind}, row bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return slim.mapInArrow(made, f"doc_id {kind}, row bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, bits binary")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -170,26 +205,26 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     full = rows.filter("n_shingles > 0")
     classes = settle(full.groupBy("h1", "h2").agg(
         F.min("row").alias("class"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n")), "classes")
-    leaders = full.join(classes.select(F.col("class").alias("row"), "n"), "row").select(F.col("row").alias("class"), "n", "bands")
-    spread = settle(leaders.select("class", "n", F.explode("bands").alias("band")), "bands")
+    leaders = full.join(classes.select(F.col("class").alias("row"), "n"), "row").select(F.col("row").alias("class"), "n", "bands", "bits")
+    spread = leaders.select("class", "n", F.explode("bands").alias("band"))
     crowded = spread.groupBy("band").agg(F.min("class").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = settle(spread.join(crowded.select("band", "pivot"), "band"), "crowded")
+    members = settle(spread.join(crowded, "band"), "crowded")
     sizes = members.filter("class = pivot").select("band", F.col("n").alias("m"))
-    fits = F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")
-    first = members.filter("class <> pivot").join(sizes, "band").filter(fits).select(
+    first = members.filter("class <> pivot").join(sizes, "band").filter(f"100 * least(n, m) >= {LEAST} * greatest(n, m)").select(
         F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     first = settle(first, "pairs")
     links = settle(_confirmed(first, classes, docs, text, doc_id), "links")
     found = components(links, "a", "b")
-    # Bands whose classes are still apart: only classes of different components meet.
-    placed = settle(members.select("band", "class", "n").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class")), "placed")
+    # Bands whose classes are still apart: only classes of different components meet, in blocks.
+    placed = settle(members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class")).select("band", "class", "n", "component", "size"), "placed")
     apart = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    left = placed.join(apart, "band")
-    right = left.select("band", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = left.join(right, "band").filter("component < other").filter(fits).select(
-        F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-    rest = settle(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    chunked = placed.join(apart, "band").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.hash("class"), F.col("chunks")))
+    blocks = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "band", "class", "n", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    full_blocks = blocks.join(leaders.select("class", "bands", "bits"), "class")
+    rest = settle(full_blocks.groupBy("band", "i", "j").applyInArrow(_maybe, "a bigint, b bigint").join(first, ["a", "b"], "left_anti"), "pairs")
     more = settle(_confirmed(rest, classes, docs, text, doc_id), "links")
     joined = components(links.unionByName(more), "a", "b").withColumnRenamed("node", "class")
     labelled = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
