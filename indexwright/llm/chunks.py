@@ -16,8 +16,8 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks of one generation; a worker remembers the last two generations.
-REMEMBERED = 400_000
+#: Pieces of one generation, unless asked otherwise; a worker remembers the last two generations.
+REMEMBERED = 150_000
 _RUN = re.compile(r"\s\s")
 _MARKS = frozenset(".,;:!?")
 
@@ -68,15 +68,15 @@ class Remembered(dict):
     a piece met again in the older one moves on, so frequent pieces are kept.
     """
 
-    def __init__(self, before: str, ids_of: Callable[[str], list[int]], code: str):
+    def __init__(self, before: str, ids_of: Callable[[str], list[int]], code: str, most: int):
         super().__init__()
-        self.before, self.ids_of, self.code, self.older = before, ids_of, code, {}
+        self.most, self.before, self.ids_of, self.code, self.older = most, before, ids_of, code, {}
 
     def __missing__(self, piece: str) -> bytes:
         value = self.older.get(piece)
         if value is None:
             value = array(self.code, self.ids_of(self.before + piece)).tobytes()
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = value
@@ -86,10 +86,10 @@ class Remembered(dict):
 class TextEncoder:
     """Ids of whole texts as bytes objects, from a function of one piece."""
 
-    def __init__(self, splitter: Splitter, ids_of: Callable[[str], list[int]], width: type):
+    def __init__(self, splitter: Splitter, ids_of: Callable[[str], list[int]], width: type, most: int = REMEMBERED):
         self.splitter = splitter
         code = np.dtype(width).char
-        self.plain, self.spaced = Remembered("", ids_of, code), Remembered(" ", ids_of, code)
+        self.plain, self.spaced = Remembered("", ids_of, code, most), Remembered(" ", ids_of, code, most)
         self.special = {s: np.array([i], width).tobytes() for s, i in splitter.special.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:

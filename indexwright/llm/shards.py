@@ -37,6 +37,8 @@ from indexwright.session import checkpoint_dir
 
 #: Keys of one bucket of the index, on average: what one task builds or reads at once.
 BUCKET_KEYS = 50_000
+#: Pieces one generation of a worker's memory holds: encoding is all that these workers do.
+REMEMBERED = 400_000
 #: Bytes of payload read at once.
 READ_BYTES = 16 << 20
 _LEVELS = 64
@@ -83,7 +85,7 @@ def _encoder(content: str, width: type) -> TextEncoder:
             spelled = (w.encode().decode("latin-1").translate(letters) for w in splitter.words_of(piece))
             return [token.id for word in spelled for token in merges.tokenize(word)]
 
-        _ENCODERS[key] = TextEncoder(splitter, ids_of, width)
+        _ENCODERS[key] = TextEncoder(splitter, ids_of, width, REMEMBERED)
     return _ENCODERS[key]
 
 
