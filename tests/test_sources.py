@@ -241,3 +241,17 @@ def test_extracts_round_trip(spark, tmp_path):
     assert line["OBS_VALUE"] == "110.234567"
     assert spark.read.json(str(tmp_path / "env")).first()["observations"] == 1
     assert sinks.dataset_schema()["LEVEL"].metadata["codes"] == ["HEADLINE", "ROUTE", "STRATUM"]
+
+
+def test_files_without_rows_are_reported(spark, tmp_path):
+    header = ",".join(supplied.REQUIRED)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "header.csv").write_text(header + "\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    lines, files = supplied.read_lines(spark, str(tmp_path)), supplied.list_files(spark, str(tmp_path))
+    name = F.element_at(F.split("file", "/"), -1).alias("file")
+    bad = {r["file"]: r["reason"] for r in supplied.unreadable_files(lines, files).select(name, "reason").collect()}
+    assert bad["empty.csv"] == "no header" and bad["other.csv"].startswith("missing required") and len(bad) == 2
+    validated = supplied.validate_rows(supplied.parse_rows(lines), "REGIONAL_OFFICE")
+    fit = [tuple(r) for r in supplied.file_usability(validated, lines).select(name, "rows_read", "rows_rejected", "rejection_rate", "usable").collect()]
+    assert fit == [("header.csv", 0, 0, D("0.000"), False)]
