@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 #: Rows of one Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 500
 #: Bytes of text hashed at once; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

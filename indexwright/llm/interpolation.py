@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from indexwright.llm.columnar import mixed, pieces, small_batches, word_hashes
+from indexwright.llm.exact import golomb_decode, golomb_encode
 from indexwright.operators.durable import settle
 
 #: Documents whose fold is this are never trained on; those of the second fold train, and tune the weights.
@@ -35,6 +36,8 @@ HELD_OUT, TUNING, FOLDS = 0, 1, 10
 #: Words of one block (at least one document) and of one owner's share.
 BLOCK_TOKENS = 600_000
 OWNER_TOKENS = 2_000_000
+#: Bits of a hashed word and of a hashed pair. One of a billion words in a billion shares its count; one of 10^12 pairs in 4,000.
+WORD_BITS, PAIR_BITS = 60, 52
 #: Steps of a doubling by which the estimates of tuning words are grouped.
 GRAIN = 4
 ROUNDS = 60
@@ -121,51 +124,71 @@ class Block:
         joined = mixed(self.vocabulary[self.before()] * np.uint64(0x9FB21C651E98DF25) + self.vocabulary[self.words])
         return np.unique(joined, return_inverse=True)
 
-    def tally(self, numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """How often each key occurs in training documents, and in tuning documents."""
-        fold = np.repeat(self.folds, self.counts)
-        train = np.bincount(numbers[fold != HELD_OUT], minlength=size)
-        return train, np.bincount(numbers[fold == TUNING], minlength=size)
+    def tally(self, numbers: np.ndarray, size: int) -> np.ndarray:
+        """How often each key occurs in training documents."""
+        return np.bincount(numbers[np.repeat(self.folds, self.counts) != HELD_OUT], minlength=size)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest; the first byte is that number."""
+    width = next(w for w in (1, 2, 4, 8) if not len(counts) or counts.max() < 1 << (8 * w - 1))
+    return bytes([width]) + counts.astype(f"<i{width}").tobytes()
+
+
+def _plain(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<i{packed[0]}", offset=1).astype(np.int64)
 
 
 def _requests(blocks: DataFrame, owners: int, of_pairs: bool) -> DataFrame:
-    cuts = np.array([(i << 64) // owners for i in range(1, owners)], np.uint64)
+    """Each block's keys for each owner, Golomb-coded, with its training counts."""
+    bits = PAIR_BITS if of_pairs else WORD_BITS
+    width = -(-(1 << bits) // owners)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.of(row)
                 keys, numbers = block.pairs() if of_pairs else (block.vocabulary, block.words)
-                train, tune = block.tally(numbers, len(keys))
-                bounds = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
+                train = block.tally(numbers, len(keys))
+                short = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                bounds = np.searchsorted(short, np.arange(owners + 1, dtype=np.int64) * width)
                 for owner in np.flatnonzero(np.diff(bounds)).tolist():
                     a, b = bounds[owner], bounds[owner + 1]
+                    k, unary, rest = golomb_encode(short[a:b], owner * width)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([owner], pa.int32()), pa.array([row["block"]]), pa.array([row["tuning"]]),
-                         *(pa.array([x[a:b].tobytes()], pa.binary()) for x in (keys, train, tune))],
-                        ["owner", "block", "tuning", "keys", "train", "tune"])
+                        [pa.array([owner], pa.int32()), pa.array([row["block"]]), pa.array([row["tuning"]]), pa.array([b - a], pa.int32()),
+                         pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in (unary, rest, _small(train[a:b])))],
+                        ["owner", "block", "tuning", "n", "k", "unary", "rest", "train"])
 
     return blocks.select("block", "tuning", "folds", "counts", "vocabulary", "words").mapInArrow(
-        asked, "owner int, block bigint, tuning boolean, keys binary, train binary, tune binary")
+        asked, "owner int, block bigint, tuning boolean, n int, k int, unary binary, rest binary, train binary")
+
 
+def _answers(requests: DataFrame, owners: int, of_pairs: bool) -> DataFrame:
+    """For each request the sums over all blocks, in its order, and the owner's totals on one row.
 
-def _answers(requests: DataFrame, of_pairs: bool) -> DataFrame:
-    """For each request the sums over all blocks, in its order, and the owner's totals on one row."""
+    A tuning block also gets the sums over tuning blocks.
+    """
+    width = -(-(1 << (PAIR_BITS if of_pairs else WORD_BITS)) // owners)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        lists = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        lists = [golomb_decode(r["n"], r["owner"] * width, r["k"], r["unary"], r["rest"]) for r in rows]
         keys, where = np.unique(np.concatenate(lists), return_inverse=True)
-        train, tune = (np.bincount(where, np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]).astype(float), len(keys)).astype(np.int64)
-                       for c in ("train", "tune"))
-        cuts = np.cumsum([len(k) for k in lists])[:-1]
-        parts = np.split(where, cuts)
+        train, tune, parts, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], 0
+        for r, keys_asked in zip(rows, lists):
+            part, counts = where[at:at + len(keys_asked)], _plain(r["train"])
+            np.add.at(train, part, counts)
+            if r["tuning"]:
+                np.add.at(tune, part, counts)
+            parts.append(part)
+            at += len(keys_asked)
         n, first = len(rows), [1] + [0] * (len(rows) - 1)
         totals = [int((train > 0).sum()), int(train.sum()), int((train > tune).sum()), int(tune.sum())]
         return pa.table({
             "block": pa.array([r["block"] for r in rows]), "tuning": pa.array([r["tuning"] for r in rows]), "of_pairs": pa.array([of_pairs] * n),
-            "owner": table["owner"].cast(pa.int32()), "train": pa.array([train[p].tobytes() for p in parts], pa.binary()),
-            "tune": pa.array([tune[p].tobytes() for p in parts], pa.binary()),
+            "owner": table["owner"].cast(pa.int32()), "train": pa.array([_small(train[p]) for p in parts], pa.binary()),
+            "tune": pa.array([_small(tune[p]) if r["tuning"] else None for p, r in zip(parts, rows)], pa.binary()),
             **{c: pa.array([t * f for f in first], pa.int64()) for c, t in zip(("types", "tokens", "rest_types", "tune_tokens"), totals)},
         })
 
@@ -183,7 +206,7 @@ def _counted(blocks: pa.Table, answers: pa.Table, columns: list[str]) -> tuple[B
         mine = answers.filter(pc.equal(answers["of_pairs"], of_pairs))
         numbers = block.pairs()[1] if of_pairs else block.words
         for column in columns:
-            counts = np.frombuffer(b"".join(mine[column].to_pylist()), np.int64)
+            counts = np.concatenate([_plain(x) for x in mine[column].to_pylist()])
             held[("pair_" if of_pairs else "word_") + column] = counts[numbers]
             if not of_pairs:
                 held[f"before_{column}"] = counts[block.before()]
@@ -240,8 +263,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     spark = docs.sparkSession
     size = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_TOKENS))
-    words = settle(_answers(_requests(blocks, owners, False), False), "words")
-    pairs = settle(_answers(_requests(blocks, owners, True), True), "pairs")
+    words = settle(_answers(_requests(blocks, owners, False), owners, False), "words")
+    pairs = settle(_answers(_requests(blocks, owners, True), owners, True), "pairs")
     row = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "rest_types", "tune_tokens")]).first()
     types, tokens, rest_types, tune_tokens = map(int, row)
     answers = words.unionByName(pairs).select("block", "tuning", "of_pairs", "owner", "train", "tune")
