@@ -16,6 +16,7 @@ what may be a link leaves a block. Every link is confirmed on the whole sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,12 @@ from indexwright.llm.components import components
 from indexwright.operators.durable import settle
 
 WORDS = 5
-#: Percent of the union that two sets must share.
+#: Percent of the union that two sets must share, unless a caller says otherwise.
 LEAST = 85
-#: Two sets of that similarity share one of 36 bands of 7 bins but for one pair in a million.
-BANDS, ROWS = 36, 7
-#: The other bins serve the estimate only: its standard error is 0.016 at that similarity.
-BINS = 2 * BANDS * ROWS
-#: A pair may be a link if its estimate is not 4.5 standard errors below.
-MAYBE = LEAST / 100 - 4.5 * (LEAST / 100 * (1 - LEAST / 100) / BINS) ** 0.5
+#: Bins of a sketch: half of them are in bands, the others serve the estimate only.
+BINS = 504
+#: Two sets of the least similarity may share no band with this chance.
+MISSED = 1.2e-6
 #: Classes of one block.
 BLOCK = 1000
 _WEIGHTS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(WORDS)]
@@ -95,13 +94,35 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return filled
 
 
-def bands(sketches: np.ndarray) -> np.ndarray:
+def banding(least: int = LEAST) -> tuple[int, int]:
+    """Bands and rows of a band for ``least`` percent: the longest bands that miss no more than MISSED.
+
+    They take about half of the bins (85: 36 bands of 7; 80: 45 of 6), or as many as they need.
+    """
+    if not 0 < least <= 100:
+        raise ValueError("the least percent must be between 1 and 100")
+    for bins in (11 * BINS // 20, BINS):
+        for rows in range(BINS // 8, 0, -1):
+            agree = min((least / 100) ** rows, 1 - 1e-9)
+            count = math.ceil(math.log(MISSED) / math.log1p(-agree))
+            if count * rows <= bins:
+                return count, rows
+    raise ValueError(f"{BINS} bins cannot find sets that share {least} percent")
+
+
+def maybe(least: int = LEAST) -> float:
+    """A pair may be a link if its estimate is not 4.5 standard errors below ``least`` percent."""
+    return least / 100 - 4.5 * (least / 100 * (1 - least / 100) / BINS) ** 0.5
+
+
+def bands(sketches: np.ndarray, least: int = LEAST) -> np.ndarray:
     """One hash for each band of each sketch; the band's number is part of it."""
-    out = np.zeros((len(sketches), BANDS), np.uint64)
-    for band in range(BANDS):
+    count, rows = banding(least)
+    out = np.zeros((len(sketches), count), np.uint64)
+    for band in range(count):
         held = np.full(len(sketches), band + 1, np.uint64)
-        for row in range(ROWS):
-            held = mixed(held * np.uint64(0xE7037ED1A0B428DB) + sketches[:, band * ROWS + row])
+        for row in range(rows):
+            held = mixed(held * np.uint64(0xE7037ED1A0B428DB) + sketches[:, band * rows + row])
         out[:, band] = held
     return out
 
@@ -111,7 +132,7 @@ def last_bytes(sketches: np.ndarray) -> np.ndarray:
     return (mixed(sketches) & np.uint64(0xFF)).astype(np.uint8)
 
 
-def _maybe(group: pa.Table) -> pa.Table:
+def _maybe(group: pa.Table, least_percent: int) -> pa.Table:
     """Pairs of one block whose sketches agree enough: each pair in the first band they share."""
     band, i, j = (group[c][0].as_py() for c in ("band", "i", "j"))
     chunk = group["chunk"].to_numpy()
@@ -119,11 +140,11 @@ def _maybe(group: pa.Table) -> pa.Table:
     bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(-1, BINS)
     shared = np.array(group["bands"].to_pylist(), np.int64)
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    least = BINS * (MAYBE * 255 + 1) / 256  # unequal bins agree by chance in one of 256
+    least = BINS * (maybe(least_percent) * 255 + 1) / 256  # unequal bins agree by chance in one of 256
     a, b = [], []
     for at in left.tolist():
         others = right[right > at] if i == j else right
-        others = others[(component[others] != component[at]) & (100 * np.minimum(sizes[others], sizes[at]) >= LEAST * np.maximum(sizes[others], sizes[at]))]
+        others = others[(component[others] != component[at]) & (100 * np.minimum(sizes[others], sizes[at]) >= least_percent * np.maximum(sizes[others], sizes[at]))]
         others = others[(bits[others] == bits[at]).sum(axis=1) >= least]
         first = (shared[others] == shared[at]).argmax(axis=1) if len(others) else others
         for other in others[shared[at][first] == band].tolist():
@@ -133,11 +154,12 @@ def _maybe(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def sketched(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sketched(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """``doc_id, row, n_shingles, h1, h2, bands, bits``: a number of the row, the set's 128-bit hash, its bands and bins."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     kind = slim.schema["doc_id"].dataType.simpleString()
+    count, _ = banding(least)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -146,9 +168,9 @@ def sketched(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             n = len(sets)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(n, 2)
             filled = sketch(sets)
-            found, bits = bands(filled).view(np.int64), last_bytes(filled)
+            found, bits = bands(filled, least).view(np.int64), last_bytes(filled)
             some = np.array([len(s) > 0 for s in sets], bool)
-            bounds = np.concatenate(([0], np.cumsum(some * BANDS)))
+            bounds = np.concatenate(([0], np.cumsum(some * count)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.arange(row, row + n)), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
@@ -160,7 +182,7 @@ def sketched(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return slim.mapInArrow(made, f"doc_id {kind}, row bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, bits binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = classes.join(asked, "class").select("class", F.col("least_id").alias("want_id"), "h1", "h2")
@@ -186,22 +208,23 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
                 x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 joint = np.sort(np.concatenate((x, y)), kind="stable")
                 common = int((joint[1:] == joint[:-1]).sum())
-                good.append(100 * common >= LEAST * (len(joint) - common))
+                good.append(100 * common >= least * (len(joint) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return sides.mapInArrow(similar, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """One row for each row: ``doc_id, n_shingles, component_id, kept``.
 
+    Sets that share ``least`` percent of their union are linked.
     ``component_id`` is the least document id that links of similar sets reach. A
     null, empty or blank text has no shingles and is linked with nothing. Equal
     sets are linked, whatever their order of words; rows that repeat an id are
     each linked by their own text, and a null id is less than none: a component has it only if all its ids are null. Other columns are not
     read. An empty table gives none.
     """
-    rows = settle(sketched(docs, text, doc_id), "sketches")
+    rows = settle(sketched(docs, text, doc_id, least), "sketches")
     full = rows.filter("n_shingles > 0")
     classes = settle(full.groupBy("h1", "h2").agg(
         F.min("row").alias("class"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n")), "classes")
@@ -210,10 +233,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     crowded = spread.groupBy("band").agg(F.min("class").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     members = settle(spread.join(crowded, "band"), "crowded")
     sizes = members.filter("class = pivot").select("band", F.col("n").alias("m"))
-    first = members.filter("class <> pivot").join(sizes, "band").filter(f"100 * least(n, m) >= {LEAST} * greatest(n, m)").select(
+    first = members.filter("class <> pivot").join(sizes, "band").filter(f"100 * least(n, m) >= {least} * greatest(n, m)").select(
         F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     first = settle(first, "pairs")
-    links = settle(_confirmed(first, classes, docs, text, doc_id), "links")
+    links = settle(_confirmed(first, classes, docs, text, doc_id, least), "links")
     found = components(links, "a", "b")
     # Bands whose classes are still apart: only classes of different components meet, in blocks.
     placed = settle(members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
@@ -224,8 +247,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     blocks = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "band", "class", "n", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     full_blocks = blocks.join(leaders.select("class", "bands", "bits"), "class")
-    rest = settle(full_blocks.groupBy("band", "i", "j").applyInArrow(_maybe, "a bigint, b bigint").join(first, ["a", "b"], "left_anti"), "pairs")
-    more = settle(_confirmed(rest, classes, docs, text, doc_id), "links")
+    rest = settle(full_blocks.groupBy("band", "i", "j").applyInArrow(lambda group: _maybe(group, least), "a bigint, b bigint").join(first, ["a", "b"], "left_anti"), "pairs")
+    more = settle(_confirmed(rest, classes, docs, text, doc_id, least), "links")
     joined = components(links.unionByName(more), "a", "b").withColumnRenamed("node", "class")
     labelled = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -235,7 +258,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """The rows whose document is the first of its group, with all columns; see ``near_groups``."""
-    stay = near_groups(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct()
+    stay = near_groups(docs, text, doc_id, least).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct()
     return docs.join(stay, docs[doc_id].eqNullSafe(stay["stay_id"]), "left_semi")

@@ -1,10 +1,14 @@
 """Registered queries against SQL on the smallest tables, and the pipeline stage by stage."""
 
+import collections
+import random
+import re
+
 import pytest
 
 import corpus_pipeline
 from check import compare, connect
-from indexwright.llm import queries
+from indexwright.llm import lines, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -45,3 +49,63 @@ def test_pipeline_on_an_empty_table(spark, no_docs):
         assert frame.count() == 0
         if "text" in frame.columns:
             frame = spark.createDataFrame([], frame.schema)
+
+
+def _failing(line):
+    separators = len(re.findall(lines.SEPARATOR, line))
+    if separators >= 3 and separators * 30 >= len(line):
+        return True
+    if len(line) < 40 and line.rstrip()[-1] not in lines.CLOSING:
+        return True
+    return len(re.findall(r"[#*$%&|<>~^_=\\{}]", line)) * 10 > len(line)
+
+
+def _brute_stages(rows):
+    """(id, text) after the quality rules, exact copies and near copies of 80 percent; no line is boilerplate."""
+    clean = []
+    for doc, text in rows:
+        words, at = text.split(), collections.defaultdict(list)
+        for i in range(len(words) - 4):
+            at[tuple(words[i:i + 5])].append(i)
+        repeat = {i + k for x in at.values() if len(x) > 1 for i in x for k in range(5)}
+        solid = [x for x in text.split("\n") if x.strip()]
+        lost = [x for x in solid if _failing(x)]
+        if len(words) >= 10 and 100 * len(repeat) <= 20 * len(words) and 2 * sum(map(len, lost)) <= sum(map(len, solid)):
+            clean.append((doc, "\n".join(x for x in text.split("\n") if not x.strip() or not _failing(x))))
+    best = {}
+    for doc, text in sorted(clean, key=lambda r: (-len(r[1]), r[0])):
+        best.setdefault("".join(text.split()), (doc, text))
+    single = sorted(best.values())
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for _, t in single)]
+    root = list(range(len(single)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    seen = set()
+    return clean, single, [r for k, r in zip(root, single) if not (k in seen or seen.add(k))]
+
+
+def test_first_stages_like_brute_force(spark):
+    pick = random.Random(12)
+    word = lambda: "".join(pick.choice("abcdeghiklmnrstu") for _ in range(7))
+    prose = lambda n: [word() + ("." if i % 12 == 11 else "") for i in range(n)]
+    data = []
+    for k in range(40):
+        base = prose(300) + ["end."]
+        data.append((4 * k, " ".join(base)))
+        # One changed word in 30 to 90: they share 71 to 90 percent.
+        changed = list(base)
+        for at in range(10, 300, 30 + 3 * (k % 20)):
+            changed[at] = word()
+        data.append((4 * k + 1, " ".join(changed)))
+        data.append((4 * k + 2, "short head\n" + " ".join(base)))
+    data += [(1000, "Home | News | Sport | Help\n" + " ".join(prose(90)) + " end."), (1001, "too short."), (1002, "ab cd ef gh ij. " * 30)]
+    wants = _brute_stages(data)
+    assert len(wants[1]) < len(wants[0]) and any(d % 4 == 1 for d, _ in wants[2]) and len(wants[2]) < len(wants[1])
+    frame = spark.createDataFrame([(d, t, "en", "s1", len(t)) for d, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    for (name, stage), want in zip(corpus_pipeline.STAGES, wants):
+        out = stage(spark, frame, FOLDER)
+        rows = out.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted(want), name
+        frame = spark.createDataFrame(rows, out.schema)
