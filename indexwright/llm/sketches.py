@@ -214,16 +214,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return sides.mapInArrow(similar, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """One row for each row: ``doc_id, n_shingles, component_id, kept``.
-
-    Sets that share ``least`` percent of their union are linked.
-    ``component_id`` is the least document id that links of similar sets reach. A
-    null, empty or blank text has no shingles and is linked with nothing. Equal
-    sets are linked, whatever their order of words; rows that repeat an id are
-    each linked by their own text, and a null id is less than none: a component has it only if all its ids are null. Other columns are not
-    read. An empty table gives none.
-    """
+def _linked(docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
+    """One row for each row: ``doc_id, row, n_shingles, h1, h2``, and ``component, component_id`` of those with shingles."""
     rows = settle(sketched(docs, text, doc_id, least), "sketches")
     full = rows.filter("n_shingles > 0")
     classes = settle(full.groupBy("h1", "h2").agg(
@@ -252,13 +244,60 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     joined = components(links.unionByName(more), "a", "b").withColumnRenamed("node", "class")
     labelled = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(lowest, "component").select("h1", "h2", "component_id", F.lit(True).alias("linked"))
+    named = labelled.join(lowest, "component").select("h1", "h2", "component", "component_id")
     ended = rows.join(named, (rows["n_shingles"] > 0) & (rows["h1"] == named["h1"]) & (rows["h2"] == named["h2"]), "left")
-    out = ended.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return ended.select("doc_id", "row", "n_shingles", rows["h1"], rows["h2"], "component", "component_id")
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+    """One row for each row: ``doc_id, n_shingles, component_id, kept``.
+
+    Sets that share ``least`` percent of their union are linked.
+    ``component_id`` is the least document id that links of similar sets reach. A
+    null, empty or blank text has no shingles and is linked with nothing. Equal
+    sets are linked, whatever their order of words; rows that repeat an id are
+    each linked by their own text, and a null id is less than none: a component has it only if all its ids are null. Other columns are not
+    read. An empty table gives none.
+    """
+    ended = _linked(docs, text, doc_id, least)
+    out = ended.select("doc_id", "n_shingles", F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """The rows whose document is the first of its group, with all columns; see ``near_groups``."""
-    stay = near_groups(docs, text, doc_id, least).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay["stay_id"]), "left_semi")
+    """One row of each group of ``near_groups`` and all rows without shingles, with all columns.
+
+    The row is one of the group's least document id. Rows that repeat an id or
+    have none are judged each by its own set; of those with one id and one set,
+    the one of the longest text stands for all.
+    """
+    ended = settle(_linked(docs, text, doc_id, least), "groups")
+    firsts = ended.filter("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
+    verdicts = ended.join(firsts.select("row", F.lit(True).alias("is_first")), "row", "left").withColumn(
+        "stays", F.col("component").isNull() | F.coalesce("is_first", F.lit(False)))
+    ids = verdicts.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays"))
+    stay = ids.filter("n = 1 and stays").select(F.col("doc_id").alias("stay_id"))
+    single = docs.join(stay, docs[doc_id] == stay["stay_id"], "left_semi")
+    # Rows that share an id are told apart by their sets.
+    often = settle(ids.filter("n > 1").select(F.col("doc_id").alias("often_id")), "often")
+    shared = docs.filter(F.col(f"`{doc_id}`").isNull()).unionAll(docs.join(often, docs[doc_id] == often["often_id"], "left_semi"))
+    framed = shared.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("row_id"),
+                           F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
+    marked = framed.withColumns({"h1": F.lit(0).cast("long"), "h2": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long")})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(2))
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(len(sets), 2)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int64())],
+                ["row", "row_id", "body", "h1", "h2", "n_shingles"])
+
+    sets = framed.mapInArrow(hashed, marked.schema)
+    # Rows without shingles are no copies of one another.
+    apart = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
+    longest = F.max(F.struct(F.char_length("body").alias("n"), "row")).alias("top")
+    one = sets.groupBy("row_id", "h1", "h2", apart.alias("apart")).agg(longest)
+    want = verdicts.filter("stays").select("doc_id", F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
+    kept = one.join(want, one["row_id"].eqNullSafe(want["doc_id"]) & (one["h1"] == want["a"]) & (one["h2"] == want["b"]), "left_semi")
+    return single.unionAll(kept.select("top.row.*"))

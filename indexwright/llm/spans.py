@@ -69,13 +69,16 @@ def runs(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, text: np.ndarra
     return begin, last, one.view(np.int64), (mixed(two) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def document_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, h1, h2, first, last, again``: the runs of each document, by sentence number.
+def document_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", number: str | None = None) -> DataFrame:
+    """``doc_id, number, h1, h2, first, last, again``: the runs of each row, by sentence number.
 
-    ``again`` marks a run that the same row has had before.
+    ``number`` tells rows apart, whatever their ids; without a column of that
+    name they are numbered here, for this one reading. ``again`` marks a run that
+    the same row has had before.
     """
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
+    numbers = F.monotonically_increasing_id() if number is None else F.col(f"`{number}`")
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"), numbers.alias("number"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,40 +93,44 @@ def document_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
                 repeat = np.zeros(len(begin), bool)
                 a, b = order[1:], order[:-1]
                 repeat[a] = (one[a] == one[b]) & (owner[begin[a]] == owner[begin[b]])
+                rows = pa.array(owner[begin] + row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner[begin] + row)), pa.array(one), pa.array(two),
+                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(one), pa.array(two),
                      pa.array((begin - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(repeat)],
-                    ["doc_id", "h1", "h2", "first", "last", "again"])
+                    ["doc_id", "number", "h1", "h2", "first", "last", "again"])
 
-    return slim.mapInArrow(made, f"doc_id {kind}, h1 bigint, h2 int, first int, last int, again boolean")
+    return slim.mapInArrow(made, f"doc_id {kind}, number bigint, h1 bigint, h2 int, first int, last int, again boolean")
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, first, last, first_doc_id``: every run that is not the first of its text.
+def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", number: str | None = None) -> DataFrame:
+    """``doc_id, number, first, last, first_doc_id``: every run that is not the first of its text.
 
-    The first is in the document of the least id, where it stands first. Texts
-    are compared word by word with A-Z as a-z, whatever the spaces; null and
-    blank texts have no sentences. Rows that repeat an id are one document to
-    each other, so a copy between them stays (and within each of them goes); a null id comes last. Other
+    The first is in the row of the least id (null comes last) and, of rows with
+    that id, of the least number, where it stands first. Texts are compared word
+    by word with A-Z as a-z, whatever the spaces; null and blank texts have no
+    sentences. Rows that repeat an id or have none are rows like all others. Other
     columns are not read; an empty table gives none.
     """
-    held = settle(document_runs(docs, text, doc_id), "runs")
-    common = held.filter("not again").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).filter("n > 1")
-    # Runs that only their own document repeats need no join.
-    inside = held.filter("again").select("doc_id", "first", "last", F.col("doc_id").alias("first_doc_id"))
-    across = held.filter("not again").join(common, ["h1", "h2"]).filter("not (doc_id <=> first_doc_id)").select(
-        "doc_id", "first", "last", "first_doc_id")
+    held = settle(document_runs(docs, text, doc_id, number), "runs")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("least")
+    common = held.filter("not again").groupBy("h1", "h2").agg(F.count("*").alias("n"), least).filter("n > 1").select(
+        "h1", "h2", F.col("least.doc_id").alias("first_doc_id"), F.col("least.number").alias("first_number"))
+    # Runs that only their own row repeats need no join.
+    inside = held.filter("again").select("doc_id", "number", "first", "last", F.col("doc_id").alias("first_doc_id"))
+    across = held.filter("not again").join(common, ["h1", "h2"]).filter("number <> first_number").select(
+        "doc_id", "number", "first", "last", "first_doc_id")
     return inside.unionByName(across)
 
 
-def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, first, last, first_doc_ids``: the stretches of sentences that go, not touching one another.
+def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", number: str | None = None) -> DataFrame:
+    """``doc_id, number, first, last, first_doc_ids``: the stretches of sentences that go, not touching one another.
 
-    ``first_doc_ids`` are the documents that keep the text of a stretch.
+    ``first_doc_ids`` are the documents that keep the text of a stretch, without
+    those that have no id.
     """
-    found = settle(repeated_runs(docs, text, doc_id), "repeats")
-    # All sentences of one document, as whole numbers; runs of one document only.
-    slots = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    found = settle(repeated_runs(docs, text, doc_id, number), "repeats")
+    # All sentences of one row, as whole numbers; runs of one row only.
+    slots = found.groupBy("number").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
     merged = F.aggregate(
         F.slice("runs", 2, F.size("runs")),
         F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.element_at("runs", 1).alias("open")),
@@ -132,10 +139,10 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             F.struct(a["open"]["first"].alias("first"), F.greatest(a["open"]["last"], r["last"]).alias("last")).alias("open"),
         )).otherwise(F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), r.alias("open"))),
         lambda a: F.concat(a["done"], F.array(a["open"])))
-    stretches = slots.select("doc_id", F.explode(merged).alias("s")).select("doc_id", "s.first", "s.last")
-    sources = found.select(F.col("doc_id").alias("d"), F.col("first").alias("f"), "first_doc_id")
-    matched = stretches.join(sources, stretches["doc_id"].eqNullSafe(sources["d"]) & F.expr("f between first and last"))
-    return matched.groupBy("doc_id", "first", "last").agg(F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    stretches = slots.select("doc_id", "number", F.explode(merged).alias("s")).select("doc_id", "number", "s.first", "s.last")
+    sources = found.select("number", F.col("first").alias("f"), "first_doc_id")
+    matched = stretches.join(sources, "number").filter("f between first and last")
+    return matched.groupBy("doc_id", "number", "first", "last").agg(F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -144,10 +151,12 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Of a removed sentence, what lies up to the next one goes with it. A document
     may end up empty, which is the empty text.
     """
-    lists = removals(docs, text, doc_id).groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("first", "last")).alias("cut"))
-    framed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("row_id"),
-                         F.col(f"`{text}`").cast("string").alias("body"))
-    joined = framed.join(lists, F.col("row_id").eqNullSafe(F.col("cut_id")), "left").select("row", "body", "cut")
+    # Stored once, so that the numbers of the cuts are those of the rows.
+    framed = settle(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("row_id"),
+        F.col(f"`{text}`").cast("string").alias("body"), F.monotonically_increasing_id().alias("number")), "numbered")
+    lists = removals(framed, "body", "row_id", "number").groupBy("number").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
+    joined = framed.join(lists, "number", "left").select("row", "body", "cut")
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
