@@ -28,6 +28,15 @@ MAX_LOST = 50
 
 CLOSING = list(".!?…:;,\"'”’»)]}*`。！？؟।")
 SEPARATOR = r"[|»›•·→]|\x20[>/]\x20"
+#: Phrases of boilerplate, as whole words. One in a line of prose says nothing: a line
+#: fails if they make up half of it, or if two different ones are in it.
+PHRASES = (
+    r"(?i)\ball rights reserved\b|\bcopyright (?:©|\(c\)|[0-9]{4}\b)|\bterms of (?:use|service)\b|\bprivacy policy\b|\bcookie(?=s?\b)"
+    r"|\benable javascript\b|\bjavascript is (?:disabled|required)\b|\bclick here\b|\bread more\b|\bsign (?:in|up)\b|\blog ?in\b"
+    r"|\bsubscribe\b|\bnewsletter(?=s?\b)|\bshare (?:this|on)\b|\bfollow us\b|\bskip to (?:main )?content\b|\bback to top\b"
+    r"|\bpowered by\b|\blorem ipsum\b|\bpage not found\b|\b(?:this work is )?licensed under\b|\breleased under the\b|\bthis work is licensed\b"
+)
+#: What the SQL of op10 takes for boilerplate, anywhere in a line; the code judges by PHRASES.
 BOILERPLATE = (
     r"(?i)all rights reserved|copyright (?:©|\(c\)|[0-9]{4})|terms of (?:use|service)|privacy policy|cookie"
     r"|enable javascript|javascript is (?:disabled|required)|click here|read more|sign (?:in|up)\b|log ?in\b|subscribe"
@@ -46,9 +55,12 @@ def line_failures(line: Column) -> Column:
     last = F.substring(F.rtrim(F.translate(line, "\t\r\x0b\x0c", "    ")), -1, 1)
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>~^_=\\{}]"))
     separators = F.regexp_count(line, F.lit(SEPARATOR))
+    rest = F.char_length(F.regexp_replace(line, PHRASES, ""))
+    found = F.transform(F.regexp_extract_all(F.lower(line), F.lit(PHRASES), 0), lambda x: F.translate(x, " ", ""))
+    boilerplate = line.rlike(PHRASES) & ((2 * rest <= size) | (F.size(F.array_distinct(found)) > 1))
     return (
         F.when((separators >= SEPARATORS) & (separators * SEPARATOR_CHARS >= size), F.lit("navigation"))
-        .when((size <= BOILERPLATE_LINE) & line.rlike(BOILERPLATE), F.lit("boilerplate"))
+        .when((size <= BOILERPLATE_LINE) & boilerplate, F.lit("boilerplate"))
         .when((size < SHORT_LINE) & ~last.isin(CLOSING), F.lit("punctuation"))
         .when(symbols * SYMBOL_CHARS > size, F.lit("punctuation"))
     )

@@ -409,3 +409,25 @@ def test_near_copies_of_one_id_are_dropped(spark):
     got = [(r["doc_id"], r["text"]) for r in sketches.drop_near_copies(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()]
     assert len(got) == 7 and set(got) >= {(1, full[2]), (5, full[3]), (None, ""), (None, None), (3, " ")}
     assert ((None, full[0]) in got) != ((None, near[0]) in got) and ((3, full[1]) in got) != ((3, near[1]) in got)
+
+
+def test_words_of_boilerplate_in_prose_stay(spark):
+    clean = [
+        "The council approved the new bridge after a long debate on its design in the spring of last year.",
+        "She would assign up to four readers to each of the manuscripts that the archive had sent her.",
+        "He wrote about the voyage in his blog in June, and a dialog in the third chapter repeats it.",
+        "Each item is described in a catalog in the reading room, which visitors may consult on weekdays.",
+        "They do not subscribe to the view that rivers made the valley, as an older survey had claimed.",
+        "The baker put a cookie into every box, and the children found the cookies before their parents.",
+        "A local newsletter reported that the mill had been driven by a wheel of oak until the flood of 1881.",
+        "The second mill was powered by steam from the first day on, as the owner had asked for in his will.",
+    ]
+    junk = [
+        "Copyright © 2019 Example Press. All rights reserved.", "Subscribe to our newsletter to hear of new titles.",
+        "Read more.", "Click here.", "By using this site you accept our cookie and privacy policy.", "Log in or sign up to leave a comment here.",
+    ]
+    data = [(i, x) for i, x in enumerate(clean)] + [(100, "\n".join(clean)), (101, "\n".join([*clean, *junk]))]
+    got = {r["doc_id"]: r for r in lines.clean_lines(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert all(r["kept"] for r in got.values())
+    assert all(got[i]["n_lines_removed"] == 0 for i in got if i != 101)
+    assert got[101]["clean_text"] == "\n".join(clean) and got[101]["n_lines_removed"] == len(junk)
