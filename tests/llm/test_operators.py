@@ -431,3 +431,21 @@ def test_words_of_boilerplate_in_prose_stay(spark):
     assert all(r["kept"] for r in got.values())
     assert all(got[i]["n_lines_removed"] == 0 for i in got if i != 101)
     assert got[101]["clean_text"] == "\n".join(clean) and got[101]["n_lines_removed"] == len(junk)
+
+
+def test_keys_of_letters_short_keys_and_what_rules_leave(spark):
+    pick = random.Random(17)
+    chars = credentials.LETTERS[:62]
+    key = lambda n, of=chars: "".join(pick.choice(of) for _ in range(n))
+    words = ["user", "name", "count", "total", "file", "index", "value", "of", "internationalization", "responsibilities"]
+    names = ["_".join(pick.choice(words) for _ in range(4)) for _ in range(300)]
+    model = credentials.train(spark.createDataFrame([(i, f"token = {key(30)} and {n} of {' '.join(words)}") for i, n in enumerate(names)], "doc_id bigint, text string"))
+    letters, short = [key(24, chars[:52]) for _ in range(60)], [key(16) for _ in range(60)]
+    halves = [(key(20, chars[:26]), key(24, "0123456789abcdef"), key(20, chars[:26])) for _ in range(60)]
+    data = [(i, f"see {a} or {b} or {''.join(c)} of {n}") for i, (a, b, c, n) in enumerate(zip(letters, short, halves, names))]
+    got = credentials.scan(spark.createDataFrame(data, "doc_id bigint, text string"), model).select("text", "spans").collect()
+    found = {s["match"] for r in got for s in r["spans"] if s["kind"] == "markov"}
+    assert all(r["text"][s["start"]:s["end"]] == s["match"] for r in got for s in r["spans"])
+    assert len(found & set(letters)) >= 57 and len(found & set(short)) >= 54 and not found & set(names)
+    assert all({a, c} <= found for a, _, c in halves)
+    assert all([s["match"] for s in r["spans"] if s["kind"] == "hex"] == [h[1]] for r, h in zip(sorted(got, key=lambda r: [d[1] for d in data].index(r["text"])), halves))
