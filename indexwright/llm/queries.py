@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexwright.llm import automaton, credentials, exact, interpolation, language, lines, mixing, shards, sketches, spans
+from indexwright.llm import (
+    alignment, automaton, credentials, exact, interpolation, language, lines, mixing, personal, shards, sketches, spans, whitening,
+)
 from indexwright.operators.durable import settle
 from indexwright.sources.star_quotes import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,6 +145,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= {lines.MAX_LOST} * line_chars AS kept FROM m
 """
 
+def op11_galloping_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents").select("doc_id", "text"), VOCABULARY, PIECES)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    made = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    explained = F.array(*[F.lit(x) for x in made.explained]).cast("array<double>")
+    return made.frame.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(made.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, "place").alias("explained"), F.lit(made.identity_error).cast("double").alias("identity_error"))
+
+
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find_personal(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(personal.BASE))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *map(number, personal.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_profiles": op1_language_profiles,
     "op2_token_shards": op2_token_shards,
@@ -153,5 +181,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": op8_near_copies,
     "op9_exact_copies": op9_exact_copies,
     "op10_line_rules": op10_line_rules,
+    "op11_galloping_alignment": op11_galloping_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_exact_copies": OP9_SQL, "op10_line_rules": OP10_SQL}
