@@ -17,8 +17,6 @@ SYMBOL = r"[#*$%&|<>]"
 
 #: A line of fewer characters that ends without a closing mark is a heading or a fragment.
 SHORT_LINE = 40
-#: A line of at most as many characters can be boilerplate; a long paragraph that names a cookie is not.
-BOILERPLATE_LINE = 300
 #: A line is navigation with so many separators, one for each so many characters at least.
 SEPARATORS, SEPARATOR_CHARS = 3, 30
 #: A line is noise if symbols are more than one in so many of its characters.
@@ -28,21 +26,23 @@ MAX_LOST = 50
 
 CLOSING = list(".!?…:;,\"'”’»)]}*`。！？؟।")
 SEPARATOR = r"[|»›•·→]|\x20[>/]\x20"
-#: Phrases of boilerplate, as whole words. One in a line of prose says nothing: a line
-#: fails if they make up half of it, or if two different ones are in it.
+#: Phrases of boilerplate in lower case, as whole words; a licence counts with its name and version.
+#: Java and RE2 read them alike, so the SQL of op10 takes them from here.
 PHRASES = (
-    r"(?i)\ball rights reserved\b|\bcopyright (?:©|\(c\)|[0-9]{4}\b)|\bterms of (?:use|service)\b|\bprivacy policy\b|\bcookie(?=s?\b)"
-    r"|\benable javascript\b|\bjavascript is (?:disabled|required)\b|\bclick here\b|\bread more\b|\bsign (?:in|up)\b|\blog ?in\b"
-    r"|\bsubscribe\b|\bnewsletter(?=s?\b)|\bshare (?:this|on)\b|\bfollow us\b|\bskip to (?:main )?content\b|\bback to top\b"
-    r"|\bpowered by\b|\blorem ipsum\b|\bpage not found\b|\b(?:this work is )?licensed under\b|\breleased under the\b|\bthis work is licensed\b"
-)
-#: What the SQL of op10 takes for boilerplate, anywhere in a line; the code judges by PHRASES.
-BOILERPLATE = (
-    r"(?i)all rights reserved|copyright (?:©|\(c\)|[0-9]{4})|terms of (?:use|service)|privacy policy|cookie"
-    r"|enable javascript|javascript is (?:disabled|required)|click here|read more|sign (?:in|up)\b|log ?in\b|subscribe"
-    r"|newsletter|share (?:this|on)|follow us|skip to (?:main )?content|back to top|powered by|lorem ipsum|page not found"
-    r"|licensed under|released under the|this work is licensed"
+    r"\b(?:(?:all rights reserved|copyright [0-9]{4}|terms of (?:use|service)|privacy policy|cookies?"
+    r"|enable javascript|javascript is (?:disabled|required)|click here|read more|sign (?:in|up)|log ?in"
+    r"|subscribe|newsletters?|share (?:this|on)|follow us|skip to (?:main )?content|back to top"
+    r"|powered by|lorem ipsum|page not found"
+    r"|tous droits réservés|mentions légales|en savoir plus|cliquez ici"
+    r"|alle rechte vorbehalten|impressum|datenschutzerklärung|nutzungsbedingungen|mehr erfahren|hier klicken"
+    r"|todos los derechos reservados|aviso legal|política de privacidad|leer más)\b"
+    r"|copyright (?:©|\(c\))|politique de confidentialité|haga clic aquí"
+    r"|(?:(?:this|the) (?:work|content|text|page|site|software|code|file|document) (?:is|are|was) )?"
+    r"(?:licensed|released|distributed|published) under (?:the |a |an )?(?:terms of the )?"
+    r"(?:gnu|gpl|lgpl|agpl|mit|apache|bsd|isc|mozilla|eclipse|cc|creative commons)\b[^.!?]{0,60}(?:\.[0-9][^.!?]{0,20})?)"
 )
+#: A line is boilerplate if phrases make up one part in so many of it, and with two different phrases one part in so many.
+ONE_PHRASE, TWO_PHRASES = 2, 4
 
 
 def _chars(text: Column) -> Column:
@@ -55,12 +55,15 @@ def line_failures(line: Column) -> Column:
     last = F.substring(F.rtrim(F.translate(line, "\t\r\x0b\x0c", "    ")), -1, 1)
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>~^_=\\{}]"))
     separators = F.regexp_count(line, F.lit(SEPARATOR))
-    rest = F.char_length(F.regexp_replace(line, PHRASES, ""))
-    found = F.transform(F.regexp_extract_all(F.lower(line), F.lit(PHRASES), 0), lambda x: F.translate(x, " ", ""))
-    boilerplate = line.rlike(PHRASES) & ((2 * rest <= size) | (F.size(F.array_distinct(found)) > 1))
+    small = F.lower(line)
+    said = F.char_length(small) - F.char_length(F.regexp_replace(small, PHRASES, ""))
+    found = F.transform(F.regexp_extract_all(small, F.lit(PHRASES), 0), lambda x: F.regexp_replace(x, " |s$", ""))
+    boilerplate = small.rlike(PHRASES) & (
+        (ONE_PHRASE * said >= F.char_length(small))
+        | ((TWO_PHRASES * said >= F.char_length(small)) & (F.size(F.array_distinct(found)) > 1)))
     return (
         F.when((separators >= SEPARATORS) & (separators * SEPARATOR_CHARS >= size), F.lit("navigation"))
-        .when((size <= BOILERPLATE_LINE) & boilerplate, F.lit("boilerplate"))
+        .when(boilerplate, F.lit("boilerplate"))
         .when((size < SHORT_LINE) & ~last.isin(CLOSING), F.lit("punctuation"))
         .when(symbols * SYMBOL_CHARS > size, F.lit("punctuation"))
     )

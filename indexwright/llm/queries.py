@@ -130,10 +130,12 @@ q AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS
 n AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM q, (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
 j AS (SELECT doc_id, length(x) AS size, CASE
         WHEN len(regexp_extract_all(x, '[|»›•·→]| [>/] ')) >= 3 AND len(regexp_extract_all(x, '[|»›•·→]| [>/] ')) * 30 >= length(x) THEN 1
-        WHEN length(x) <= 300 AND regexp_matches(x, '{lines.BOILERPLATE}') THEN 1
+        WHEN phrases > 0 AND ({lines.ONE_PHRASE} * said >= length(y) OR ({lines.TWO_PHRASES} * said >= length(y) AND phrases > 1)) THEN 1
         WHEN length(x) < 40 AND NOT list_contains(string_split('. ! ? … : ; , " '' ” ’ » ) ] }} * ` 。 ！ ？ ؟ ।', ' '), right(rtrim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')), 1)) THEN 1
         WHEN len(regexp_extract_all(x, '[#*$%&|<>~^_=\\\\{{}}]')) * 10 > length(x) THEN 1 ELSE 0 END AS failed
-      FROM (SELECT doc_id, unnest(l) AS x FROM w)),
+      FROM (SELECT *, length(y) - length(regexp_replace(y, '{lines.PHRASES}', '', 'g')) AS said,
+                   len(list_distinct(list_transform(regexp_extract_all(y, '{lines.PHRASES}'), lambda p: regexp_replace(p, ' |s$', '', 'g')))) AS phrases
+            FROM (SELECT doc_id, x, lower(x) AS y FROM (SELECT doc_id, unnest(l) AS x FROM w)))),
 z AS (SELECT doc_id, sum(size) AS line_chars, sum(size * failed) AS lost FROM j GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

@@ -55,13 +55,18 @@ def _failing(line):
     separators = len(re.findall(lines.SEPARATOR, line))
     if separators >= 3 and separators * 30 >= len(line):
         return True
+    small = line.lower()
+    said = re.findall(lines.PHRASES, small)
+    chars = sum(map(len, said))
+    if said and (2 * chars >= len(small) or 4 * chars >= len(small) and len({re.sub(" |s$", "", x) for x in said}) > 1):
+        return True
     if len(line) < 40 and line.rstrip()[-1] not in lines.CLOSING:
         return True
     return len(re.findall(r"[#*$%&|<>~^_=\\{}]", line)) * 10 > len(line)
 
 
 def _brute_stages(rows):
-    """(id, text) after the quality rules, exact copies and near copies of 80 percent; no line is boilerplate."""
+    """(id, text) after the quality rules, exact copies and near copies of 80 percent."""
     clean = []
     for doc, text in rows:
         words, at = text.split(), collections.defaultdict(list)
@@ -100,6 +105,7 @@ def test_first_stages_like_brute_force(spark):
             changed[at] = word()
         data.append((4 * k + 1, " ".join(changed)))
         data.append((4 * k + 2, "short head\n" + " ".join(base)))
+    data += [(2000, "\n".join([" ".join(prose(40)) + " end.", "This work is licensed under the GNU General Public License, version 3.", " ".join(prose(40)) + " end."]))]
     data += [(1000, "Home | News | Sport | Help\n" + " ".join(prose(90)) + " end."), (1001, "too short."), (1002, "ab cd ef gh ij. " * 30)]
     wants = _brute_stages(data)
     assert len(wants[1]) < len(wants[0]) and any(d % 4 == 1 for d, _ in wants[2]) and len(wants[2]) < len(wants[1])
@@ -109,3 +115,27 @@ def test_first_stages_like_brute_force(spark):
         rows = out.collect()
         assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted(want), name
         frame = spark.createDataFrame(rows, out.schema)
+
+
+def test_verdicts_on_boilerplate_like_brute_force(spark):
+    licences = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.",
+                "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "The software is distributed under the terms of the BSD licence!"]
+    junk = ["Tous droits réservés.", "Alle Rechte vorbehalten, 2024.", "Click here. Read more. " * 20, "Cookies, cookies and a privacy policy", "Copyright © 2019 Example Press. All rights reserved."]
+    prose = ["The council approved the bridge after a long debate on its design, which was licensed under an older law of the county.",
+             "The baker put a cookie into every box, and the children found the cookies before their parents.",
+             "It was released under the MIT licence long ago, and since then " + "many hands have changed it without asking anyone " * 9 + "in the end.",
+             "They would sign inside the margin and read moreover what the others had written there before them."]
+    data = [(i, x) for i, x in enumerate(licences + junk + prose)]
+    data += [(100 + i, "\n".join([prose[0], x, prose[1]])) for i, x in enumerate(licences + junk)]
+    data += [(200 + i, "\n".join([x, prose[3], x, x])) for i, x in enumerate(licences + junk)]
+
+    def kept(text):
+        words, at = text.split(), collections.Counter(tuple(text.split()[i:i + 5]) for i in range(len(text.split()) - 4))
+        repeat = {i + k for i in range(len(words) - 4) if at[tuple(words[i:i + 5])] > 1 for k in range(5)}
+        solid = text.split("\n")
+        return len(words) >= 10 and 100 * len(repeat) <= 20 * len(words) and 2 * sum(len(x) for x in solid if _failing(x)) <= sum(map(len, solid))
+
+    got = {r["doc_id"]: r for r in lines.clean_lines(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert {k: r["kept"] for k, r in got.items()} == {k: kept(t) for k, t in data}
+    n = len(licences + junk)
+    assert all(got[i]["n_lines_removed"] == 1 for i in range(n)) and all(got[i]["n_lines_removed"] == 0 for i in range(n, len(licences + junk + prose)))
