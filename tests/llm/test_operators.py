@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from indexwright.llm import automaton, columnar, credentials, exact, interpolation, language, lines, mixing, shards, sketches, spans
+from indexwright.llm import automaton, columnar, credentials, exact, interpolation, language, lines, matches, mixing, shards, sketches, spans
 from indexwright.llm.queries import VOCABULARY
 
 WORD = "[^\x20\x09-\x0D]+"
@@ -119,10 +119,17 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert len(found & set(secrets[200:])) >= 90 and not found & set(names[200:])
 
 
-def test_running_sums_over_many_blocks(spark):
-    lengths = list(range(1, 1000))
-    got = spark.createDataFrame([(lengths,)], "x array<bigint>").select(credentials._running("x")).first()[0]
-    assert got == np.cumsum(lengths).tolist()
+def test_places_of_many_matches(spark):
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(["1", "22", "x", "é😀", " "]) for _ in range(n)) for n in (0, 1, 7, 255, 256, 257, 1500, 9000)] + [None]
+    frame = spark.createDataFrame([(t,) for t in texts], "body string")
+    for r in matches.locate(frame, {"digits": "[0-9]+"}, {"digits": "[0-9]"}, context=3).collect():
+        body = r["body"] or ""
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", body)]
+        assert [(s["start"], s["end"], s["match"]) for s in r["digits"]] == want
+        cuts = [0, *[x for a, b, _ in want for x in (a, b)], len(body)]
+        assert [(s["before"], s["after"]) for s in r["digits"]] == [
+            (body[cuts[2 * k]:cuts[2 * k + 1]][-3:], body[cuts[2 * k + 2]:cuts[2 * k + 3]][:3]) for k in range(len(want))]
 
 
 def test_interpolated_scores(docs, rows):
