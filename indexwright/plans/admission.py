@@ -134,15 +134,67 @@ def crawl_delays(rules: DataFrame) -> DataFrame:
     )
 
 
+def _admitted(eligible: DataFrame, delays: DataFrame, budget: int) -> DataFrame:
+    """``fetch_id`` of the fetches that go out: each at least the delay after the one before, a budget a day.
+
+    A fetch that is refused leaves no trace, so which ones go out follows from one
+    another, also past midnight. What has to be walked through in order is cut down
+    first, by combining aggregations:
+
+    * of fetches planned at one moment only the first can go out;
+    * a source's day is parted into cells as long as its delay. After the first
+      cell that has fetches, of any two neighbouring ones at least one lets a fetch
+      out, so later cells than 2 * budget + 1 cannot;
+    * a day depends on the day before only if its first fetch comes within the
+      delay after the last one kept there. Runs of such days are walked together.
+    """
+    # Whole microseconds keep the comparisons exact.
+    gap = (F.coalesce("delay", F.lit(MIN_DELAY_SECONDS)) * 1_000_000).cast("long")
+    timed = eligible.join(delays.select("source", "delay"), "source", "left").select(
+        "source", "day", "fetch_id", gap.alias("gap"), F.unix_micros(F.col("planned_at").cast("timestamp")).alias("t"))
+    moments = timed.groupBy("source", "day", "gap", "t").agg(F.min("fetch_id").alias("fetch_id")).withColumn(
+        "cell", F.floor((F.col("t") - F.unix_micros(F.col("day").cast("timestamp"))) / F.col("gap")))
+    # Cells are no shorter than the least delay: at most 17,280 a day.
+    in_order = Window.partitionBy("source", "day").orderBy("cell")
+    cells = moments.select("source", "day", "cell").distinct().withColumn("_no", F.row_number().over(in_order))
+    kept = moments.join(cells.filter(F.col("_no") <= 2 * budget + 1).drop("_no"), ["source", "day", "cell"])
+    days = kept.groupBy("source", "day", "gap").agg(
+        F.array_sort(F.collect_list(F.struct("t", "fetch_id"))).alias("planned"))
+    # One row a day from here on.
+    by_day = Window.partitionBy("source").orderBy("day")
+    before = F.lag(F.element_at("planned", -1)["t"]).over(by_day)
+    apart = F.coalesce((F.element_at("planned", 1)["t"] >= before + F.col("gap")).cast("int"), F.lit(1))
+    linked = days.withColumn("_apart", apart).withColumn("run", F.sum("_apart").over(by_day))
+    runs = linked.groupBy("source", "run").agg(
+        F.first("gap").alias("gap"), F.array_sort(F.collect_list(F.struct("day", "planned"))).alias("days"))
+
+    def walk(state: Column, fetch: Column) -> Column:
+        due = F.coalesce(fetch["t"] >= state["last"] + F.col("gap"), F.lit(True))
+        out = F.struct(fetch["t"].alias("last"), F.concat(state["sent"], F.array(fetch["fetch_id"])).alias("sent"))
+        return F.when(due & (F.size(state["sent"]) < budget), out).otherwise(state)
+
+    kind = eligible.schema["fetch_id"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+
+    def walk_day(state: Column, day: Column) -> Column:
+        sent = F.aggregate(day["planned"], F.struct(state["last"].alias("last"), none.alias("sent")), walk)
+        return F.struct(sent["last"].alias("last"), F.concat(state["days"], F.array(sent["sent"])).alias("days"))
+
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<array<{kind}>>").alias("days"))
+    sent = F.aggregate("days", start, walk_day, lambda s: F.flatten(s["days"]))
+    return runs.select(F.explode(sent).alias("fetch_id"))
+
+
 def admission_verdicts(
-    fetches: DataFrame, sources: DataFrame, verdicts: DataFrame, contact: str, budget: int = DAILY_BUDGET
+    fetches: DataFrame, sources: DataFrame, verdicts: DataFrame, contact: str, budget: int = DAILY_BUDGET,
+    delays: DataFrame | None = None,
 ) -> DataFrame:
     """The ordered decision for each planned fetch.
 
-    Every check that does not depend on other fetches is a column. The budget
-    keeps the first fetches of a source-day among those otherwise allowed: a row
-    number compared with a constant, which Spark also cuts down before the
-    shuffle, so a source with most of the fetches costs no more than any other.
+    Every check that does not depend on other fetches is a column. Of those
+    otherwise allowed, a fetch is deferred if the source's delay (``delays``: source,
+    delay in seconds; the floor where none is declared) has not passed since the last
+    one that was allowed, or if the day's budget is used up.
     """
     if budget > DAILY_BUDGET or budget < 0:
         raise ValueError(f"the daily budget must be between 0 and {DAILY_BUDGET}")
@@ -158,21 +210,21 @@ def admission_verdicts(
         .when(~api & ~F.coalesce("allowed", F.lit(False)), "BLOCKED_ROBOTS")
     )
     judged = known.withColumn("decision", first).withColumn("day", F.to_date("planned_at"))
-    order = Window.partitionBy("source", "day").orderBy("planned_at", "fetch_id")
-    numbered = judged.filter(F.col("decision").isNull()).withColumn("_no", F.row_number().over(order))
-    inside = numbered.filter(F.col("_no") <= budget).select("fetch_id", F.lit(True).alias("_inside"))
+    if delays is None:
+        delays = fetches.sparkSession.createDataFrame([], fetches.select("source").schema).withColumn("delay", F.lit(MIN_DELAY_SECONDS))
+    sent = _admitted(judged.filter(F.col("decision").isNull()), delays, budget).withColumn("_sent", F.lit(True))
     return (
-        judged.join(inside, "fetch_id", "left")
+        judged.join(sent, "fetch_id", "left")
         .withColumn(
             "decision",
-            F.coalesce("decision", F.when(F.col("_inside"), "ALLOWED").otherwise("DEFERRED_RATE_LIMIT")),
+            F.coalesce("decision", F.when(F.col("_sent"), "ALLOWED").otherwise("DEFERRED_RATE_LIMIT")),
         )
         .withColumn(
             "matched_rule",
             F.when(api, F.concat(F.lit("api terms: "), F.coalesce("matched_rule", F.lit("-"))))
             .otherwise(F.col("matched_rule")),
         )
-        .drop("_inside")
+        .drop("_sent")
     )
 
 

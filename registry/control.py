@@ -143,7 +143,7 @@ def _snapshots(t):
         F.when(kind == 3, "<!DOCTYPE html>\n<html><head></head></html>")
         .when(kind == 4, "User-agent: *  # everyone\nDisallow: https://x.example/private\n")
         .when(kind == 5, "User-agent: other\nUser-agent: IndexBot\nDisallow: /\n\nUser-agent: *\nDisallow:\n")
-        .otherwise("User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\nCrawl-delay: 7\n"))
+        .otherwise("User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\nCrawl-delay: 14400\n"))
     out = users.withColumn("status", status).withColumn("body", body)
     return out.withColumn("outcome", admission.classify_snapshot(F.col("status"), F.col("body")))
 
@@ -176,8 +176,17 @@ _ADMIT = {
              WHEN path = '/a/b.pdf' THEN '/*.pdf$' ELSE '/private' END AS matched_rule FROM wanted""",
     "first": """SELECT *, CASE WHEN source % 10 = 0 THEN 'SKIPPED_DISABLED' WHEN source % 9 = 0 OR source % 13 = 0 THEN 'BLOCKED_UNREVIEWED'
              WHEN source % 8 <> 0 AND NOT allowed THEN 'BLOCKED_ROBOTS' END AS early FROM verdict""",
-    "decided": """SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY source, CAST(ts AS DATE), early IS NULL
-             ORDER BY ts, fetch_id) <= 2 THEN 'ALLOWED' ELSE 'DEFERRED_RATE_LIMIT' END) AS decision FROM first""",
+    # Fetch after fetch of a source: the last one that went out, and how many did on its day.
+    "queue": """SELECT fetch_id, source, ts, CAST(ts AS DATE) AS day, CASE WHEN kind = 0 THEN 14400000000 ELSE 5000000 END AS gap,
+             row_number() OVER (PARTITION BY source ORDER BY ts, fetch_id) AS no FROM first WHERE early IS NULL""",
+    "walk": """SELECT fetch_id, source, no, day, epoch_us(ts) AS last, 1 AS used, TRUE AS sent FROM queue WHERE no = 1
+             UNION ALL
+             SELECT fetch_id, source, no, day, CASE WHEN sent THEN t ELSE last END, used + CASE WHEN sent THEN 1 ELSE 0 END, sent FROM (
+               SELECT q.fetch_id, q.source, q.no, q.day, w.last, epoch_us(q.ts) AS t, CASE WHEN q.day = w.day THEN w.used ELSE 0 END AS used,
+                      epoch_us(q.ts) >= w.last + q.gap AND (q.day <> w.day OR w.used < 2) AS sent
+               FROM walk w JOIN queue q ON q.source = w.source AND q.no = w.no + 1)""",
+    "decided": """SELECT f.*, coalesce(f.early, CASE WHEN w.sent THEN 'ALLOWED' ELSE 'DEFERRED_RATE_LIMIT' END) AS decision
+             FROM first f LEFT JOIN walk w ON w.fetch_id = f.fetch_id""",
 }
 
 
@@ -186,12 +195,13 @@ def _decisions(t):
         "source", (F.col("source") % 10 != 0).alias("enabled"), (F.col("source") % 9 != 0).alias("approved"),
         F.when(F.col("source") % 13 == 0, "").otherwise("https://x.example").alias("base_url"),
         F.when(F.col("source") % 8 == 0, 1).otherwise(3).alias("tier"))
-    return admission.admission_verdicts(_fetches(t), sources, _verdict(t), "https://contact.example", budget=2)
+    return admission.admission_verdicts(_fetches(t), sources, _verdict(t), "https://contact.example", budget=2,
+                                        delays=admission.crawl_delays(_rules(t)))
 
 
 @query("r1_robots_rules", """
     SELECT source, rule, value, by_intent FROM (SELECT DISTINCT user_id AS source, user_id % 6 AS kind FROM events) s
-    JOIN (VALUES (0, 'disallow', '/private', 0), (0, 'allow', '/private/open', 0), (0, 'disallow', '/*.pdf$', 0), (0, 'crawl-delay', '7', 0),
+    JOIN (VALUES (0, 'disallow', '/private', 0), (0, 'allow', '/private/open', 0), (0, 'disallow', '/*.pdf$', 0), (0, 'crawl-delay', '14400', 0),
                  (4, 'disallow', '/private', 1), (5, 'disallow', '/', 0)) r(kind, rule, value, bi) USING (kind),
          LATERAL (SELECT CAST(bi AS BIGINT) AS by_intent)""")
 def _(t):
@@ -218,7 +228,7 @@ def _(t):
 @query("r4_send_times", compose("""
     SELECT fetch_id, strftime(make_timestamp(CAST(max(epoch_us(ts) - gap * i) OVER (PARTITION BY source, CAST(ts AS DATE) ORDER BY ts, fetch_id) + gap * i AS BIGINT)),
            '%Y-%m-%d %H:%M:%S') AS send_at
-    FROM (SELECT *, CASE WHEN kind = 0 THEN 7000000 ELSE 5000000 END AS gap,
+    FROM (SELECT *, CASE WHEN kind = 0 THEN 14400000000 ELSE 5000000 END AS gap,
                  row_number() OVER (PARTITION BY source, CAST(ts AS DATE) ORDER BY ts, fetch_id) - 1 AS i FROM decided WHERE decision = 'ALLOWED')""",
     extra=_ADMIT))
 def _(t):

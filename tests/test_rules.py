@@ -232,20 +232,55 @@ def test_robots(spark):
 def test_run_status_and_budget(spark):
     outcomes = spark.createDataFrame([(1, "BLOCKED", 0), (2, "FAILED", 0), (3, "FAILED", 0), (3, "COLLECTED", 4)], "job_id int, status string, quotes int")
     assert {r["job_id"]: r["job_status"] for r in quality.run_status(outcomes).collect()} == {1: "SUCCESS", 2: "FAILED", 3: "PARTIAL"}
-    fetches = spark.range(5).selectExpr("id fetch_id", "'s' source", "'/x' path", "timestamp'2026-07-01 00:00:00' planned_at")
+    fetches = spark.range(5).selectExpr("id fetch_id", "'s' source", "'/x' path", "timestamp_seconds(1782864000 + 10 * id) planned_at")
     sources = spark.createDataFrame([("s", True, True, "https://x", 3)], "source string, enabled boolean, approved boolean, base_url string, tier int")
     verdicts = spark.createDataFrame([("s", "/x", True, "-")], "source string, path string, allowed boolean, matched_rule string")
     got = admission.admission_verdicts(fetches, sources, verdicts, "contact", budget=3).orderBy("fetch_id")
     assert [r["decision"] for r in got.collect()] == ["ALLOWED"] * 3 + ["DEFERRED_RATE_LIMIT"] * 2
-    delays = spark.createDataFrame([("s", 7.0)], "source string, delay double")
+    delays = spark.createDataFrame([("s", 17.0)], "source string, delay double")
     times = admission.send_times(got.filter("decision = 'ALLOWED'"), delays).orderBy("fetch_id").collect()
-    assert [str(r["send_at"])[11:] for r in times] == ["00:00:00", "00:00:07", "00:00:14"]
+    assert [str(r["send_at"])[11:] for r in times] == ["00:00:00", "00:00:17", "00:00:34"]
     nobody = admission.admission_verdicts(fetches, sources, verdicts, "")
     assert {r["decision"] for r in nobody.collect()} == {"BLOCKED_UNREVIEWED"}
     with pytest.raises(ValueError):
         admission.admission_verdicts(fetches, sources, verdicts, "c", budget=201)
 
 
+def _walk(rows, delays, budget):
+    """Decisions by walking through all fetches of a source in order."""
+    out, last, used = {}, {}, {}
+    for source, at, fetch in sorted(rows):
+        day = (source, at // 86_400_000_000)
+        ok = (source not in last or at >= last[source] + delays.get(source, 5.0) * 1_000_000) and used.get(day, 0) < budget
+        if ok:
+            last[source], used[day] = at, used.get(day, 0) + 1
+        out[fetch] = "ALLOWED" if ok else "DEFERRED_RATE_LIMIT"
+    return out
+
+
+@pytest.mark.parametrize("budget", [0, 1, 3, 200])
+def test_fetches_wait_for_the_one_before(spark, budget):
+    import random
+    pick, start = random.Random(budget), 1782864000_000_000
+    delays = {"slow": 3600.0, "days": 200_000.0, "busy": 5.0, "night": 60.0}
+    rows = []
+    for source, n, span in (("slow", 120, 4 * 86400), ("days", 60, 12 * 86400), ("busy", 500, 3000), ("none", 80, 400), ("night", 40, 900)):
+        first = start + 86_400_000_000 - 450_000_000 if source == "night" else start  # around midnight
+        rows += [(source, first + pick.randrange(span * 1_000_000)) for _ in range(n)]
+    rows += [("none", start + 5_000_000 * k) for k in range(3)] * 2 + [("pair", start), ("pair", start + 1_000_000)]
+    rows = [(s, t, i) for i, (s, t) in enumerate(rows)]
+    fetches = spark.createDataFrame(rows, "source string, t bigint, fetch_id bigint").selectExpr("fetch_id", "source", "'/x' path", "timestamp_micros(t) planned_at").repartition(3)
+    names = sorted({r[0] for r in rows})
+    sources = spark.createDataFrame([(n, True, True, "https://x", 3) for n in names], "source string, enabled boolean, approved boolean, base_url string, tier int")
+    verdicts = spark.createDataFrame([(n, "/x", True, "-") for n in names], "source string, path string, allowed boolean, matched_rule string")
+    declared = spark.createDataFrame(list(delays.items()), "source string, delay double")
+    got = admission.admission_verdicts(fetches, sources, verdicts, "contact", budget=budget, delays=declared)
+    want = _walk(rows, delays, budget)
+    assert {r["fetch_id"]: r["decision"] for r in got.collect()} == want
+    if budget > 1:
+        assert [want[i] for s, _, i in rows if s == "pair"] == ["ALLOWED", "DEFERRED_RATE_LIMIT"]
+
+
 def test_quality_summary_refresh(spark, tmp_path):
     base = spark.createDataFrame([("2026-07-01", 5), ("2026-07-02", 7)], "d string, f int").selectExpr(
         "cast(d as date) collected_date", "cast(f as decimal(12,2)) total_fare", "'LIVE_COLLECTED' provenance", "'COMPLETE' quality_status",
