@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from indexwright.functions.labels import freshness
-from indexwright.functions.rounding import mean_of
 from indexwright.schemas import lead_time_buckets
 
 
+def fare_parts(quotes: DataFrame) -> DataFrame:
+    """What each day adds to fare profiles, by route and bucket: counts, sums, least and greatest fares."""
+    return quotes.groupBy("collected_date", "route", "bucket").agg(
+        F.count("*").alias("quotes"), F.sum("total_fare").alias("sum_fare"),
+        F.min("total_fare").alias("min_fare"), F.max("total_fare").alias("max_fare"))
+
+
 def lead_time_profile(quotes: DataFrame, route: str | None = None) -> DataFrame:
     """Fare level per bucket on the latest day, relative to the 21-day bucket.
 
@@ -17,18 +23,27 @@ def lead_time_profile(quotes: DataFrame, route: str | None = None) -> DataFrame:
     from a table partitioned by collection date.
     """
     latest = quotes.agg(F.max("collected_date").alias("d")).scalar()
-    day = quotes.filter(F.col("collected_date") == latest)
+    return _profile(fare_parts(quotes.filter(F.col("collected_date") == latest)), route)
+
+
+def profile_of_parts(parts: DataFrame, route: str | None = None) -> DataFrame:
+    """The same profile from stored ``fare_parts``."""
+    latest = parts.agg(F.max("collected_date").alias("d")).scalar()
+    return _profile(parts.filter(F.col("collected_date") == latest), route)
+
+
+def _profile(day: DataFrame, route: str | None) -> DataFrame:
     if route is not None:
         day = day.filter(F.col("route") == route.upper())
-    mean = F.sum("total_fare").cast("decimal(24,2)") / F.count("*").cast("decimal(13,0)")
+    mean = F.sum("sum_fare").cast("decimal(24,2)") / F.sum("quotes").cast("decimal(13,0)")
     per_bucket = day.groupBy("bucket").agg(
-        F.count("*").alias("quotes"),
-        F.min("total_fare").alias("min_fare"),
+        F.sum("quotes").alias("quotes"),
+        F.min("min_fare").alias("min_fare"),
         mean.alias("mean_fare"),
-        F.max("total_fare").alias("max_fare"),
+        F.max("max_fare").alias("max_fare"),
     )
     # At most six rows from here on.
-    buckets = lead_time_buckets(quotes.sparkSession).drop("lam")
+    buckets = lead_time_buckets(day.sparkSession).drop("lam")
     base = F.max(F.when(F.col("bucket") == "T21", F.col("mean_fare"))).over(Window.partitionBy())
     joined = per_bucket.join(F.broadcast(buckets), "bucket").withColumn("_base", base)
     relative = F.bround(F.col("mean_fare").cast("double") / F.col("_base").cast("double") * 100, 1)
@@ -41,14 +56,19 @@ def lead_time_profile(quotes: DataFrame, route: str | None = None) -> DataFrame:
 
 def quality_counts(quotes: DataFrame) -> DataFrame:
     """Counts by status, provenance and confidence and in total, from one scan."""
-    total = F.count("*").alias("quotes")
-    sets = quotes.groupingSets(
+    return counts_of_parts(quotes.withColumn("observations", F.lit(1)))
+
+
+def counts_of_parts(parts: DataFrame) -> DataFrame:
+    """The same counts from stored ``quality_parts``: rows that stand for ``observations`` quotes."""
+    n = F.col("observations")
+    sets = parts.groupingSets(
         [["quality_status"], ["provenance"], ["component_confidence"], []],
         "quality_status", "provenance", "component_confidence",
     ).agg(
-        total,
-        F.count(F.when(F.col("imputation_code") == "Y", 1)).alias("imputed"),
-        F.count(F.when(F.col("quality_status") == "COMPLETE", 1)).alias("complete"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("quotes"),
+        F.coalesce(F.sum(F.when(F.col("imputation_code") == "Y", n)), F.lit(0)).alias("imputed"),
+        F.coalesce(F.sum(F.when(F.col("quality_status") == "COMPLETE", n)), F.lit(0)).alias("complete"),
         F.grouping_id().alias("_g"),
     )
     dimension = (
@@ -105,14 +125,23 @@ SUMMARY_KEYS = [
 ]
 
 
-def quality_summary(quotes: DataFrame) -> DataFrame:
-    """The stored rollup behind the quality page, partitioned by day when written."""
+def quality_parts(quotes: DataFrame) -> DataFrame:
+    """What each day adds to quality reports, by the codes of its quotes."""
     return quotes.groupBy(*SUMMARY_KEYS).agg(
-        F.count("*").alias("observations"),
-        F.min("total_fare").alias("min_fare"),
-        mean_of(F.col("total_fare"), 6).alias("mean_fare"),
-        F.max("total_fare").alias("max_fare"),
-    )
+        F.count("*").alias("observations"), F.count("total_fare").alias("priced"), F.sum("total_fare").alias("sum_fare"),
+        F.min("total_fare").alias("min_fare"), F.max("total_fare").alias("max_fare"))
+
+
+def quality_summary(quotes: DataFrame) -> DataFrame:
+    """The rollup behind the quality page."""
+    return summary_of_parts(quality_parts(quotes))
+
+
+def summary_of_parts(parts: DataFrame) -> DataFrame:
+    """The same rollup from stored ``quality_parts``, which have one row for each of its rows."""
+    mean = F.col("sum_fare").cast("decimal(24,6)") / F.col("priced").cast("decimal(11,0)")
+    return parts.select(
+        *SUMMARY_KEYS, "observations", "min_fare", F.bround(mean, 6).cast("decimal(18,6)").alias("mean_fare"), "max_fare")
 
 
 def refresh_quality_summary(quotes: DataFrame, path: str, days: list | None = None) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,15 +12,20 @@ from pyspark.sql import types as T
 
 from indexwright.operators.durable import settle
 from indexwright.operators.matching import match_periods, relatives
-from indexwright.operators.weights import weights_from_traffic
+from indexwright.operators.weights import equal_weights, weights_from_traffic
 from indexwright.plans.index_run import IndexRun, run_index
-from indexwright.session import apply_settings
+from indexwright.plans.stored import ReadTables
+from indexwright.session import apply_settings, checkpoint_dir
 from indexwright.sources.star_quotes import star_quotes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The tables for readers of each folder, which one application stores once.
+_STORED: dict[tuple[str, str], ReadTables] = {}
+
+
 class Inputs:
     """The driver tables of one folder and what is commonly derived from them."""
 
@@ -30,9 +36,35 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    @cached_property
+    def stored(self) -> ReadTables:
+        """The folder's tables for readers; the quotes are stored when first asked for."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _STORED:
+            tables = ReadTables(self.spark, f"{checkpoint_dir(self.spark)}/indexwright/read-{uuid.uuid4().hex}")
+            tables.put_quotes(star_quotes(self.spark, self.folder))
+            _STORED[key] = tables
+        return _STORED[key]
+
+    @cached_property
+    def parts(self) -> ReadTables:
+        """The same with what each day adds to reports."""
+        if not self.stored.has("quality"):
+            self.stored.refresh_parts()
+        return self.stored
+
+    @cached_property
+    def index_rows(self) -> ReadTables:
+        """The same with the rows of routes and two weight sets, the newer in use."""
+        if not self.stored.has("weights"):
+            older = equal_weights(self.quotes, "placeholder").withColumn("effective_from", F.lit("2020-01-01").cast("date"))
+            newer = self.weights.withColumn("effective_from", F.lit("2024-01-01").cast("date"))
+            self.stored.put_index(self.run.routes, older.unionByName(newer))
+        return self.stored
+
     @cached_property
     def quotes(self) -> DataFrame:
-        return star_quotes(self.spark, self.folder)
+        return self.stored.quotes
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -46,22 +78,15 @@ class Inputs:
     @cached_property
     def traffic(self) -> DataFrame:
         """Quotes per route, standing in for a stored table of passenger volumes."""
-        rows = self.__dict__.get("stored_quotes", self.quotes)
-        return settle(rows.groupBy("route").agg(F.count("*").alias("volume")), "traffic")
+        return settle(self.quotes.groupBy("route").agg(F.count("*").alias("volume")), "traffic")
 
     @cached_property
     def weights(self) -> DataFrame:
         return weights_from_traffic(self.traffic, 2, "quote volumes")
 
-    @cached_property
-    def stored_quotes(self) -> DataFrame:
-        """The index columns of the quotes as a stored table; a run reads it several times."""
-        index_columns = ["route", "bucket", "pair_key", "collected_date", "total_fare", "provenance"]
-        return settle(self.quotes.select(*index_columns), "quotes")
-
     @cached_property
     def run(self) -> IndexRun:
-        return run_index(self.stored_quotes, self.weights)
+        return run_index(self.quotes, self.weights)
 
 
 def present(frame: DataFrame) -> DataFrame:

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from indexwright.functions.labels import departure_band, movement_band
 from indexwright.operators import constraints, specification
 from indexwright.operators.aggregate import route_index
-from indexwright.operators.matching import collection_calendar
 from indexwright.operators import screening
 from indexwright.plans import lineage, quality, reads, series
-from indexwright.plans.index_run import stratum_table
 from registry.base import query
 from registry.sql_parts import compose, day, he, hes
 
@@ -181,14 +179,14 @@ def _(t):
           WHERE collected_date = (SELECT max(collected_date) FROM q) GROUP BY bucket)
     JOIN (VALUES ('T1', 1), ('T7', 7), ('T15', 15), ('T21', 21), ('T30', 30), ('T45', 45)) b(bucket, days) USING (bucket)""", "q"))
 def _(t):
-    return quality.lead_time_profile(t.quotes)
+    return quality.profile_of_parts(t.parts.fares)
 
 
 @query("a13_lead_time_profile_route", compose(f"""
     SELECT bucket, count(*) AS quotes, min(fare_c) / 100.0 AS min_fare, max(fare_c) / 100.0 AS max_fare FROM q
     WHERE collected_date = (SELECT max(collected_date) FROM q) AND route = 'ASIA-EUROPE' GROUP BY bucket""", "q"))
 def _(t):
-    return quality.lead_time_profile(t.quotes, "asia-europe").select("bucket", "quotes", "min_fare", "max_fare")
+    return quality.profile_of_parts(t.parts.fares, "asia-europe").select("bucket", "quotes", "min_fare", "max_fare")
 
 
 @query("a14_quality_counts", compose("""
@@ -199,7 +197,7 @@ def _(t):
     FROM (SELECT *, quality_status AS quality_status_raw FROM q)
     GROUP BY GROUPING SETS ((quality_status), (provenance), (component_confidence), ())""", "q"))
 def _(t):
-    return quality.quality_counts(t.quotes)
+    return quality.counts_of_parts(t.parts.quality)
 
 
 @query("a14_quality_rates", compose(f"""
@@ -227,7 +225,7 @@ def _(t):
            {he('CAST(sum(fare_c) AS BIGINT) * 10000', 'count(*)')} / 1000000.0 AS mean_fare, max(fare_c) / 100.0 AS max_fare
     FROM q GROUP BY ALL""", "q"))
 def _(t):
-    return quality.quality_summary(t.quotes)
+    return quality.summary_of_parts(t.parts.quality)
 
 
 @query("p12_provenance_mode", compose("""
@@ -551,7 +549,7 @@ def _(t):
     SELECT quote_id, strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at, route, bucket, carrier, flight_no, total_fare
     FROM q ORDER BY q.collected_at DESC, quote_id LIMIT 20""", "q"))
 def _(t):
-    return reads.latest_quotes(t.quotes, 20).select(
+    return t.parts.latest_quotes(20).select(
         "quote_id", "collected_at", "route", "bucket", "carrier", "flight_no", "total_fare")
 
 
@@ -559,14 +557,14 @@ def _(t):
     SELECT quote_id, strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at, total_fare
     FROM q WHERE route = 'ASIA-EUROPE' ORDER BY q.collected_at DESC, quote_id LIMIT 50""", "q"))
 def _(t):
-    return reads.latest_quotes(t.quotes, 50, "asia-europe").select("quote_id", "collected_at", "total_fare")
+    return t.parts.latest_quotes(50, "asia-europe").select("quote_id", "collected_at", "total_fare")
 
 
 @query("t2_latest_route_rows", compose(f"""
     SELECT route, {OBS} AS obs_date, i6 / 1000000.0 AS index_value, (i6 - p6) / 1000000.0 AS movement, input_quote_count
     FROM routes WHERE i6 IS NOT NULL ORDER BY routes.obs_date DESC, route LIMIT 100""", "routes"))
 def _(t):
-    return reads.latest_route_rows(t.run.routes).select("route", "obs_date", "index_value", "movement", "input_quote_count")
+    return reads.latest_route_rows(t.index_rows.routes).select("route", "obs_date", "index_value", "movement", "input_quote_count")
 
 
 @query("t3_latest_headline", compose(f"""
@@ -594,13 +592,7 @@ def _(t):
            CAST(0 AS BIGINT) AS is_proxy, 'DGCA popular-routes list' AS rung_meaning
     FROM routes WHERE route = 'ASIA-EUROPE' AND i6 IS NOT NULL""", "routes", "weights"))
 def _(t):
-    from indexwright.operators.weights import equal_weights
-    older = equal_weights(t.quotes, "placeholder").withColumn("effective_from", F.lit("2020-01-01").cast("date"))
-    newer = t.weights.withColumn("effective_from", F.lit("2024-01-01").cast("date"))
-    # Only the route's own quotes are matched and chained, against the calendar of all.
-    own = t.quotes.filter(F.col("route") == "ASIA-EUROPE")
-    routes = route_index(stratum_table(own, days=collection_calendar(t.quotes)))
-    return reads.route_history(routes, older.unionByName(newer), "asia-europe").select(
+    return reads.route_history(t.index_rows.routes, t.index_rows.weights, "asia-europe").select(
         "route", "obs_date", "index_value", "movement", "weight", "is_proxy", "rung_meaning")
 
 
