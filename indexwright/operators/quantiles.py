@@ -1,11 +1,10 @@
 """Exact quantiles within groups, whatever the size of a group.
 
-Groups of ordinary size go through a window. Groups that hold more than a set
-number of rows are resolved by rank: values are counted per coarse bin, the bins
-that contain the wanted ranks are found from running totals, and only those bins
-are ranked value by value. Every step combines before its shuffle or works on a
-bounded number of rows per group, and equal values are merged first, so neither
-a huge group nor a hugely repeated value ends up in one task.
+Equal values of a group are merged, and what is left is parted by ranges of
+(group, value) into pieces of like size, so a large group lies in many pieces and
+a small one in one or two. Sums of the pieces before it give a piece the rank it
+starts with; values are ranked only inside the pieces that hold a wanted rank.
+Every group takes this one way, and no task has more than a piece.
 """
 
 from __future__ import annotations
@@ -13,107 +12,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A group larger than this is split, unless it is still a tiny share of all rows.
-LARGE_GROUP_ROWS = 50_000
-#: At most this many groups can each hold more than 1/LARGE_GROUP_SHARE of all rows.
-LARGE_GROUP_SHARE = 100_000
-BINS = 4096
+from indexwright.operators.durable import settle
 
 
-def large_groups(
-    rows: DataFrame, keys: list[str], limit: int = LARGE_GROUP_ROWS, share: int = LARGE_GROUP_SHARE,
-    copies: str | None = None,
-) -> DataFrame:
-    """Keys of the groups that must not be handled in one task.
+def ranked_quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles per group, and ``group_rows``, the number of its values.
 
-    A group is large when it has more than ``limit`` rows and more than one part
-    in ``share`` of all rows (``copies`` names a column that counts rows already
-    merged). By the second condition there are fewer than
-    ``share`` such groups, so the result may always be broadcast.
+    ``wanted`` maps column names to fractions. Null values are not counted. The
+    pieces are stored, since the ranges are sampled anew each time they are asked for.
     """
-    size = F.sum(copies) if copies else F.count("*")
-    sizes = rows.groupBy(*keys).agg(size.alias("group_rows"))
-    everything = sizes.agg(F.sum("group_rows")).scalar()
-    return sizes.filter(
-        (F.col("group_rows") > limit) & (F.col("group_rows") * share > everything)
-    )
-
-
-def split_by_size(
-    rows: DataFrame, keys: list[str], limit: int = LARGE_GROUP_ROWS, copies: str | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups and rows of large groups, the latter None if there are none.
-
-    Asks the data one question (is any group large?), so that the plan for large
-    groups is built only when it is needed. ``rows`` is therefore read twice and
-    should be a stored table. Splitting does not shuffle the rows.
-    """
-    large = large_groups(rows, keys, limit, copies=copies).select(*keys)
-    if large.isEmpty():
-        return rows, None
-    large = F.broadcast(large)
-    return rows.join(large, keys, "left_anti"), rows.join(large, keys, "left_semi")
-
-
-def ranked_quantiles(
-    rows: DataFrame,
-    keys: list[str],
-    value: str,
-    wanted: dict[str, float],
-    low: float,
-    high: float,
-    bins: int = BINS,
-) -> DataFrame:
-    """Linear-interpolated quantiles per group, by rank over value bins.
-
-    ``low`` and ``high`` bound the values; ``wanted`` maps column names to
-    fractions. Exact: the bins only decide which values need to be ranked.
-    """
-    width = (high - low) / bins
-    counted = (
-        rows.withColumn(
-            "_bin",
-            F.least(F.greatest(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(0)),
-                    F.lit(bins - 1)).cast("int"),
-        )
-        .groupBy(*keys, "_bin", F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    per_group = Window.partitionBy(*keys)
-    running = per_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    by_bin = (
-        counted.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").alias("_bin_n"))
-        .withColumn("_upto", F.sum("_bin_n").over(running))
-        .withColumn("_all", F.sum("_bin_n").over(per_group))
-        .withColumn("_before", F.col("_upto") - F.col("_bin_n"))
+    merged = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = settle(merged.repartitionByRange(*keys, "_v").withColumn("_piece", F.spark_partition_id()), "pieces")
+    group = Window.partitionBy(*keys)
+    # A group has at most as many pieces as there are partitions.
+    pieces = (
+        placed.groupBy(*keys, "_piece").agg(F.sum("_n").alias("_in"))
+        .withColumn("_upto", F.sum("_in").over(group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_all", F.sum("_in").over(group))
+        .withColumn("_before", F.col("_upto") - F.col("_in"))
     )
     ranks = []
     for name, fraction in wanted.items():
         place = F.lit(fraction) * (F.col("_all") - 1)
-        ranks.append(F.struct(F.lit(name).alias("q"), F.lit("lo").alias("end"),
-                              F.floor(place).cast("long").alias("rank")))
-        ranks.append(F.struct(F.lit(name).alias("q"), F.lit("hi").alias("end"),
-                              F.ceil(place).cast("long").alias("rank")))
-    targets = (
-        by_bin.withColumn("_t", F.explode(F.array(*ranks)))
-        .filter((F.col("_t.rank") >= F.col("_before")) & (F.col("_t.rank") < F.col("_upto")))
-        .select(*keys, "_bin", "_before", "_all", "_t.q", "_t.end", "_t.rank")
-    )
-    # One row per (group, bin) so that a bin is ranked once for all its targets.
-    wanted_bins = targets.groupBy(*keys, "_bin").agg(
-        F.first("_before").alias("_before"),
-        F.first("_all").alias("_all"),
-        F.collect_list(F.struct("q", "end", "rank")).alias("_targets"),
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
+        for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ranks.append(F.struct(F.lit(name).alias("q"), F.lit(end).alias("end"), rank.cast("long").alias("rank")))
+    targets = pieces.withColumn("_targets", F.filter(
+        F.array(*ranks), lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_upto"))
+    )).filter(F.size("_targets") > 0).select(*keys, "_piece", "_before", "_all", "_targets")
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        counted.join(wanted_bins, [*keys, "_bin"])
+        placed.join(targets, [*keys, "_piece"])
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_t", F.explode("_targets"))
-        .filter((F.col("_t.rank") < F.col("_upto")) & (F.col("_t.rank") >= F.col("_upto") - F.col("_n")))
+        .withColumn("_t", F.explode(F.filter("_targets", lambda t: (
+            t["rank"] < F.col("_upto")) & (t["rank"] >= F.col("_upto") - F.col("_n")))))
     )
     columns = []
     for name, fraction in wanted.items():

@@ -8,12 +8,11 @@ drops them (or pulls them in, for small strata).
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indexwright.operators.quantiles import LARGE_GROUP_ROWS, ranked_quantiles, split_by_size
+from indexwright.operators.durable import settle
+from indexwright.operators.quantiles import ranked_quantiles
 from indexwright.schemas import STRATUM_DAY
 
 FLAG, REJECT = "FLAG", "REJECT"
@@ -33,53 +32,25 @@ RULE_MAD_DROP = "OUTLIER_MAD_LOG_RELATIVE"
 
 #: Logs of two equal ratios can differ in the last bit; distances below this are zero.
 TINY = 1e-12
-_LOG_BOUND = math.log(100.0)
 
 
-def stratum_spread(
-    pairs: DataFrame, keys: list[str] | None = None, limit: int = LARGE_GROUP_ROWS
-) -> DataFrame:
+def stratum_spread(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Plausible pairs with ``n``, ``p5``, ``p95``, ``median``, ``mad`` and ``mean_ad``.
 
-    ``pairs`` is read more than once and should be a stored table. Ordinary strata use two stacked windows on the same keys (one shuffle); large
-    strata go through rank-based quantiles and bounded broadcasts of their results.
+    ``pairs`` is read more than once and should be a stored table. Quantiles are
+    selected by rank, for strata of any size alike; what a stratum's pairs are told
+    is one row a stratum, joined back to them.
     """
     keys = keys or STRATUM_DAY
     plausible = pairs.filter("plausible")
-    ordinary, large = split_by_size(plausible, keys, limit)
-
-    group = Window.partitionBy(*keys)
     lr = F.col("log_relative")
-    windowed = (
-        ordinary.withColumn("n", F.count("*").over(group))
-        .withColumn("_q", F.percentile(lr, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).over(group))
-        .withColumn("p5", F.col("_q")[0])
-        .withColumn("median", F.col("_q")[1])
-        .withColumn("p95", F.col("_q")[2])
-        .withColumn("_dev", F.abs(lr - F.col("median")))
-        .withColumn("mad", F.percentile(F.col("_dev"), F.lit(0.5)).over(group))
-        .withColumn("mean_ad", F.avg("_dev").over(group))
-    )
-
-    columns = [*pairs.columns, "n", "p5", "p95", "median", "mad", "mean_ad"]
-    if large is None:
-        return windowed.select(*columns)
-
-    # One row per large stratum, fewer than LARGE_GROUP_SHARE of them by definition.
-    centre = F.broadcast(
-        ranked_quantiles(
-            large, keys, "log_relative", {"p5": 0.05, "median": 0.5, "p95": 0.95},
-            -_LOG_BOUND, _LOG_BOUND,
-        ).withColumnRenamed("group_rows", "n")
-    )
-    centred = large.join(centre, keys).withColumn("_dev", F.abs(lr - F.col("median")))
-    mads = F.broadcast(
-        ranked_quantiles(centred, keys, "_dev", {"mad": 0.5}, 0.0, 2 * _LOG_BOUND).drop("group_rows")
-    )
-    means = F.broadcast(centred.groupBy(*keys).agg(F.avg("_dev").alias("mean_ad")))
-    ranked = centred.join(mads, keys).join(means, keys)
-
-    return windowed.select(*columns).unionByName(ranked.select(*columns))
+    centre = ranked_quantiles(plausible, keys, "log_relative", {"p5": 0.05, "median": 0.5, "p95": 0.95}).withColumnRenamed("group_rows", "n")
+    centre = settle(centre, "centres")
+    distances = plausible.select(*keys, lr).join(centre.select(*keys, "median"), keys).select(*keys, F.abs(lr - F.col("median")).alias("_dev"))
+    mads = ranked_quantiles(distances, keys, "_dev", {"mad": 0.5}).drop("group_rows")
+    means = distances.groupBy(*keys).agg(F.avg("_dev").alias("mean_ad"))
+    spread = centre.join(mads, keys).join(means, keys)
+    return plausible.join(spread, keys).select(*pairs.columns, "n", "p5", "p95", "median", "mad", "mean_ad")
 
 
 def robust_score() -> Column:
@@ -100,7 +71,6 @@ def screen(
     k: float = DEFAULT_K,
     small_n: int = SMALL_N,
     keys: list[str] | None = None,
-    limit: int = LARGE_GROUP_ROWS,
 ) -> DataFrame:
     """Every pair with its verdict: kept, flagged, rule, observed, threshold.
 
@@ -108,7 +78,7 @@ def screen(
     percentile bound where REJECT winsorises), NULL for pairs that are dropped.
     """
     lr = F.col("log_relative")
-    spread = stratum_spread(pairs, keys, limit).withColumn("score", robust_score())
+    spread = stratum_spread(pairs, keys).withColumn("score", robust_score())
     small = F.col("n") < small_n
     clamped = F.least(F.greatest(lr, F.col("p5")), F.col("p95"))
     outside_small = small & (F.abs(lr - clamped) > TINY)

@@ -86,7 +86,7 @@ def _(t):
 def _(t):
     ranked = ranked_quantiles(
         t.pairs.filter("plausible"), ["obs_date"], "log_relative",
-        {"p5": 0.05, "median": 0.5, "p95": 0.95}, -4.7, 4.7)
+        {"p5": 0.05, "median": 0.5, "p95": 0.95})
     return ranked.select("obs_date", *[F.bround(c, 9).alias(c) for c in ("p5", "median", "p95")], "group_rows")
 
 

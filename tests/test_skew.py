@@ -2,6 +2,7 @@
 
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from indexwright.operators import quantiles, screening
@@ -22,33 +23,57 @@ def _rows(frame):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.collect()), key=repr)
 
 
-def test_large_groups_screen_like_small_ones(spark, monkeypatch):
-    pairs = relatives(_skewed(spark))
-    for mode in ("FLAG", "REJECT"):
-        assert _rows(screening.screen(pairs, mode)) == _rows(screening.screen(pairs, mode, limit=100))
+def _quantile(values, fraction):
+    values, at = sorted(values), fraction * (len(values) - 1)
+    lo = int(at)
+    return values[lo] if lo + 1 >= len(values) else values[lo] + (at - lo) * (values[lo + 1] - values[lo])
 
 
-def test_split_finds_the_large_group(spark):
+def test_spread_against_brute_force(spark):
     pairs = relatives(_skewed(spark))
-    ordinary, large = quantiles.split_by_size(pairs, ["route"], limit=500)
-    assert [r["route"] for r in large.select("route").distinct().collect()] == ["HOT"]
-    assert ordinary.filter("route = 'HOT'").isEmpty()
-    assert quantiles.split_by_size(pairs, ["route"], limit=10_000)[1] is None
+    strata = {}
+    for r in pairs.filter("plausible").collect():
+        strata.setdefault(r["route"], []).append(r["log_relative"])
+    got = {r["route"]: r for r in screening.stratum_spread(pairs).select("route", "n", "p5", "p95", "median", "mad", "mean_ad").distinct().collect()}
+    assert set(got) == set(strata)
+    for route, logs in strata.items():
+        median = statistics.median(logs)
+        away = [abs(x - median) for x in logs]
+        want = [len(logs), _quantile(logs, 0.05), _quantile(logs, 0.95), median, statistics.median(away), sum(away) / len(away)]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[route][1:], want))
 
 
-def test_ranked_quantiles_against_brute_force(spark):
-    rows = spark.range(997).selectExpr("id % 3 as g", "cast(pmod(hash(id), 50) as double) / 7 as v")
-    got = {r["g"]: r for r in quantiles.ranked_quantiles(
-        rows, ["g"], "v", {"m": 0.5, "p": 0.05}, 0.0, 8.0, bins=4).collect()}
+@pytest.mark.parametrize("partitions", ["1", "37"])
+def test_ranked_quantiles_against_brute_force(spark, partitions):
+    # Groups of one row to two thirds of all; in one, most values crowd around a point, in another all are equal.
+    rows = spark.range(5000).selectExpr(
+        "case when id % 3 < 2 then 'HOT' when id % 30 = 2 then 'EQUAL' when id % 1000 = 5 then 'FEW' when id = 8 then 'ONE' else concat('G', id % 40) end g",
+        "case when id % 30 = 2 then 7D when id % 3 < 2 then 1 + pmod(hash(id), 997) * 1e-12 when id = 11 then null else cast(pmod(hash(id), 50) as double) / 7 end v")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["g"]: r for r in quantiles.ranked_quantiles(rows, ["g"], "v", {"m": 0.5, "p": 0.05, "top": 1.0}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
     values = {}
-    for r in rows.collect():
+    for r in rows.filter("v is not null").collect():
         values.setdefault(r["g"], []).append(r["v"])
+    assert set(got) == set(values)
     for g, vs in values.items():
-        vs.sort()
-        assert abs(got[g]["m"] - statistics.median(vs)) < 1e-12
-        at = 0.05 * (len(vs) - 1)
-        lo = int(at)
-        assert abs(got[g]["p"] - (vs[lo] + (at - lo) * (vs[lo + 1] - vs[lo]))) < 1e-12
+        assert got[g]["group_rows"] == len(vs) and got[g]["top"] == max(vs)
+        assert abs(got[g]["m"] - statistics.median(vs)) < 1e-15 and abs(got[g]["p"] - _quantile(vs, 0.05)) < 1e-15
+
+
+def test_a_large_group_is_ranked_in_pieces(spark):
+    rows = spark.range(4000).selectExpr("'HOT' g", "cast(id as double) v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = rows.repartitionByRange(16, "g", "v").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(placed) == 16 and max(r["count"] for r in placed) < 500
 
 
 def test_digest_depends_on_the_group_alone(spark):

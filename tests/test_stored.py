@@ -73,7 +73,7 @@ def test_index_rows(spark, tmp_path):
     tables = ReadTables(spark, str(tmp_path / "read"))
     routes = spark.createDataFrame([("A-B", "2026-07-01", 100.0), ("A-B", "2026-07-02", 101.5), ("B-C", "2026-07-02", 99.0)], "route string, d string, v double").selectExpr(
         "route", "cast(d as date) obs_date", "cast(v as decimal(18,6)) index_value", "cast(100 as decimal(18,6)) prev_index_value")
-    weights = spark.createDataFrame([("A-B", 0.5, "R1", "x", "2026-01-01"), ("A-B", 0.6, "R1", "y", "2026-06-01")], "route string, weight double, evidence_rung string, evidence_ref string, d string").selectExpr(
+    weights = spark.createDataFrame([("A-B", 0.5, 1, "x", "2026-01-01"), ("A-B", 0.6, 1, "y", "2026-06-01")], "route string, weight double, evidence_rung int, evidence_ref string, d string").selectExpr(
         "*", "cast(d as date) effective_from").drop("d")
     tables.put_index(routes, weights)
     history = reads.route_history(tables.routes, tables.weights, "a-b").collect()
