@@ -168,12 +168,12 @@ def provenance_mode(quotes: DataFrame) -> DataFrame:
     )
 
 
-def observation_age(observed: DataFrame, now: Column, at: str = "collected_at") -> DataFrame:
-    """Newest observation, its age in hours and the freshness verdict."""
+def observation_age(observed: DataFrame, now: Column, at: str = "collected_at", by: list[str] | None = None) -> DataFrame:
+    """Newest observation, of each group if asked for, its age in hours and the freshness verdict."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(F.col("latest_at"))
     age = F.bround(seconds / 3600, 1)
     return (
-        observed.agg(F.max(at).alias("latest_at"))
+        observed.groupBy(*(by or [])).agg(F.max(at).alias("latest_at"))
         .withColumn("age_hours", age)
         .withColumn("freshness", freshness(F.col("age_hours")))
     )

@@ -283,13 +283,11 @@ def _(t):
 
 
 # -- imputation -----------------------------------------------------------------
-# The grid leaves out a third of the collection days of one route so that whole
-# strata are missing; its other buckets, then other routes, are the donors.
-
-_HOLES = "AND NOT (route = 'ASIA-EUROPE' AND month(obs_date) = 7) AND NOT (bucket = 'T7' AND month(obs_date) = 10)"
+# Strata that have too few accepted pairs on a collection day are missing; other
+# buckets of their route, then other routes, are the donors.
 
 _IMPUTE = {
-    "gap_visits": chain_parts("stats", "gap", _HOLES)["gap_visits"][1],
+    "gap_visits": chain_parts("stats", "gap")["gap_visits"][1],
     "firsts": "SELECT route, bucket, min(obs_date) AS first_date FROM gap_visits GROUP BY ALL",
     "grid": """SELECT f.route, f.bucket, f.first_date, c.obs_date FROM firsts f
                JOIN (SELECT DISTINCT obs_date FROM gap_visits) c ON c.obs_date >= f.first_date""",
@@ -318,13 +316,6 @@ _IMPUTE = {
 }
 
 
-def _holed(t):
-    stats = stratum_days(t.matched)
-    gap = ((F.col("route") == "ASIA-EUROPE") & (F.month("obs_date") == 7)) | (
-        (F.col("bucket") == "T7") & (F.month("obs_date") == 10))
-    return stats.filter(~gap)
-
-
 @query("a7_imputed_strata", compose(f"""
     SELECT route, bucket, {OBS} AS obs_date, idx AS index_value, prev AS prev_index_value,
            CASE WHEN imputed THEN 'Y' ELSE 'N' END AS imputation_code,
@@ -333,7 +324,7 @@ def _holed(t):
            CASE WHEN imputed THEN round_even(exp(donor), 6) END AS movement_applied,
            CAST(run AS BIGINT) AS consecutive_imputations FROM fold""", "stats", extra=_IMPUTE))
 def _(t):
-    return imputation.impute_missing(_holed(t))
+    return imputation.impute_missing(stratum_days(t.matched))
 
 
 @query("a7b_imputation_rate", compose(f"""
@@ -341,14 +332,11 @@ def _(t):
            {he('count(*) FILTER (imputed) * 1000', 'count(*)')} / 1000.0 AS imputation_rate
     FROM fold GROUP BY obs_date""", "stats", extra=_IMPUTE))
 def _(t):
-    counts = imputation.impute_missing(_holed(t)).groupBy("obs_date").agg(
+    counts = imputation.impute_missing(stratum_days(t.matched)).groupBy("obs_date").agg(
         F.count("*").alias("strata"), F.count(F.when(F.col("imputation_code") == "Y", 1)).alias("imputed"))
     return counts.withColumn("imputation_rate", imputation.imputation_rate(F.col("strata"), F.col("imputed")))
 
 
-_IMPUTE_ALL = {**_IMPUTE, "gap_visits": chain_parts("stats", "gap")["gap_visits"][1]}
-
-
 @query("a7_index_with_imputation", compose(f"""
     SELECT f.route, f.bucket, {day('f.obs_date')} AS obs_date, idx AS index_value, prev AS prev_index_value,
            CAST(coalesce(s.raw_quotes, 0) AS BIGINT) AS raw_quotes,
@@ -357,7 +345,7 @@ _IMPUTE_ALL = {**_IMPUTE, "gap_visits": chain_parts("stats", "gap")["gap_visits"
            CAST(CASE WHEN prev IS NULL THEN 0 ELSE coalesce(s.rejected, 0) END AS BIGINT) AS excluded_count,
            CAST(CASE WHEN prev IS NULL OR (NOT imputed AND idx IS NOT NULL) THEN 0 ELSE 1 END AS BIGINT) AS insufficient
     FROM fold f LEFT JOIN stats s ON s.route = f.route AND s.bucket = f.bucket AND s.obs_date = f.obs_date""",
-    "stats", extra=_IMPUTE_ALL))
+    "stats", extra=_IMPUTE))
 def _(t):
     return stratum_table(t.quotes, missing="impute")
 
@@ -595,7 +583,7 @@ def _(t):
     SELECT route, bucket, CAST(max(run) AS BIGINT) AS longest_run, count(*) FILTER (imputed) AS imputed_days
     FROM fold GROUP BY ALL""", "stats", extra=_IMPUTE))
 def _(t):
-    return imputation.impute_missing(_holed(t)).groupBy("route", "bucket").agg(
+    return imputation.impute_missing(stratum_days(t.matched)).groupBy("route", "bucket").agg(
         F.max("consecutive_imputations").alias("longest_run"),
         F.count(F.when(F.col("imputation_code") == "Y", 1)).alias("imputed_days"))
 

@@ -246,10 +246,9 @@ def _now():
            round_even((epoch({_NOW}) - floor(epoch(max(ts)))) / 3600, 1) AS age_hours,
            CASE WHEN round_even((epoch({_NOW}) - floor(epoch(max(ts)))) / 3600, 1) <= 26 THEN 'CURRENT'
                 WHEN round_even((epoch({_NOW}) - floor(epoch(max(ts)))) / 3600, 1) <= 72 THEN 'STALE' ELSE 'OVERDUE' END AS freshness
-    FROM events WHERE event_type = 'view' GROUP BY event_type""")
+    FROM events GROUP BY event_type""")
 def _(t):
-    seen = t.table("events").filter("event_type = 'view'")
-    return quality.observation_age(seen, _now(), "ts").select(F.lit("view").alias("event_type"), "latest_at", "age_hours", "freshness")
+    return quality.observation_age(t.table("events"), _now(), "ts", ["event_type"])
 
 
 _STATUS = "CASE event_type WHEN 'view' THEN 'COLLECTED' WHEN 'click' THEN 'COLLECTED' WHEN 'purchase' THEN 'BLOCKED' WHEN 'signup' THEN 'DEFERRED' ELSE 'FAILED' END"
@@ -631,18 +630,19 @@ def _(t):
 
 
 def _chain_tables(t, gaps: bool):
+    """The collection chain of all quotes; with gaps, some rows lack what they should point to."""
     q = t.quotes.withColumn("raw_quote_id", F.sha2(F.concat(F.lit("raw"), F.col("quote_id")), 256)).withColumn(
         "request_id", F.sha2(F.concat_ws("|", "route", "bucket", F.date_format("collected_date", "yyyy-MM-dd")), 256)).withColumn(
         "response_id", F.concat_ws("/", "order_key", "request_id"))
-    raw = q.select("raw_quote_id", "response_id")
+    answered, decided = F.lit(True), F.lit("ALLOWED")
+    if gaps:
+        answered = ~F.col("response_id").startswith("1")
+        decided = F.when(F.month("collected_date") != 7, "ALLOWED")
+    raw = q.select("raw_quote_id", F.when(answered, F.col("response_id")).alias("response_id"))
     responses = q.select("response_id", "request_id").distinct()
     requests = q.select("request_id").distinct()
-    decisions = q.select("request_id", F.lit("ALLOWED").alias("decision"), F.col("collected_date").alias("decided_at")).distinct()
+    decisions = q.select("request_id", decided.alias("decision"), F.col("collected_date").alias("decided_at")).distinct()
     sources = q.select("source").distinct()
-    if gaps:
-        raw = raw.filter(~F.col("response_id").startswith("1"))
-        decisions = decisions.filter(F.month("decided_at") != 7)
-        sources = sources.filter("source <> 'AFRICA'")
     return q.drop("request_id", "response_id"), raw, responses, requests, decisions, sources
 
 
@@ -666,8 +666,8 @@ def _(t):
 
 
 @query("j3b_quote_provenance", compose("""
-    SELECT quote_id, CASE WHEN raw_ok AND dec_ok THEN 'ALLOWED' END AS decision, CAST(raw_ok AND dec_ok AND source <> 'AFRICA' AS BIGINT) AS chain_complete
-    FROM (SELECT quote_id, source, NOT starts_with(CAST(order_key AS VARCHAR), '1') AS raw_ok, month(collected_date) <> 7 AS dec_ok FROM q)""", "q"))
+    SELECT quote_id, CASE WHEN raw_ok AND dec_ok THEN 'ALLOWED' END AS decision, CAST(raw_ok AND dec_ok AS BIGINT) AS chain_complete
+    FROM (SELECT quote_id, NOT starts_with(CAST(order_key AS VARCHAR), '1') AS raw_ok, month(collected_date) <> 7 AS dec_ok FROM q)""", "q"))
 def _(t):
     q, *tables = _chain_tables(t, gaps=True)
     return lineage.quote_provenance(q, *tables).select("quote_id", "decision", "chain_complete")
