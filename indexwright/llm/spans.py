@@ -1,10 +1,14 @@
 """Repeated passages: every run of a few sentences is hashed, and later copies are removed.
 
 A run begins at each sentence and takes as many as make up its least number of
-sentences and of words. Runs that occur again, in another document or in the
-same one, are found by joining their hashes over the whole table; of each run
-the first document keeps its first occurrence, and the sentences of every other
-are removed. Runs are combined within a document before any shuffle.
+sentences and of words. A passage that begins and ends inside sentences may hold
+no whole run, so runs of a fixed number of words are added where content chooses
+them: of every few neighbouring ones, the one with the least hash. Which one that is
+depends on the words of these neighbours alone, so any long enough passage holds
+a run that is chosen wherever it stands. Runs that occur again, in another
+document or in the same one, are found by joining their hashes over the whole
+table; of each run the first document keeps its first occurrence, and every other
+is removed. Runs are combined within a document before any shuffle.
 """
 
 from __future__ import annotations
@@ -16,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexwright.llm.columnar import mixed, pieces, run_hashes, small_batches, word_hashes
+from indexwright.llm.columnar import mixed, pieces, ranges, run_hashes, word_hashes
 from indexwright.operators.durable import settle
 
 SENTENCES = 2
 WORDS = 16
-#: A sentence of more words is also parted after words whose hash says so, one in eight.
-LONG = 24
+#: Of so many neighbouring runs of WORDS words one is chosen at least, so WORDS + CHOICE - 1 equal words share one.
+CHOICE = 16
 _BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -30,53 +34,77 @@ _QUOTE = np.zeros(256, bool)
 _QUOTE[[ord(c) for c in "\"')]"]] = True
 
 
-def sentences(body: np.ndarray, offsets: np.ndarray):
-    """Word hashes of a piece of texts, and its sentences: first word, end word, text number, word places.
-
-    A sentence ends at a word that closes with . ! or ? (a quote or bracket may
-    follow), at a line end, or with the text; a long one also at words chosen by
-    their hash, so that texts without marks are parted alike wherever they stand.
-    """
-    hashes, counts, start, stop = word_hashes(body, offsets)
-    if not len(hashes):
-        none = np.zeros(0, np.int64)
-        return hashes, none, none, none, (start, stop)
+def _sentence_ends(body: np.ndarray, start: np.ndarray, stop: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each word ends a sentence: . ! or ? (a quote or bracket may follow), a line end, or the text's end."""
     last = body[stop - 1]
     closes = _END[last] | (_QUOTE[last] & (stop - start > 1) & _END[body[np.maximum(stop - 2, 0)]])
     lines = np.concatenate(([0], np.cumsum(body == 10)))
     closes[:-1] |= lines[start[1:]] > lines[stop[:-1]]
+    closes[ends - 1] = True
+    return closes
+
+
+def _chosen(hashes: np.ndarray, counts: np.ndarray, words: int, choice: int) -> np.ndarray:
+    """First words of the chosen runs of ``words`` words: the least hash among ``choice`` neighbours, or of a short text."""
+    room = np.maximum(counts - words + 1, 0)
+    at = ranges(np.cumsum(counts) - counts, room)
+    if not len(at):
+        return at
+    value = run_hashes(hashes, at, at + words, _BASES[0])
+    text = np.repeat(np.arange(len(counts)), room)
+    chosen = []
+    if len(at) >= choice:
+        whole = text[:len(at) - choice + 1] == text[choice - 1:]
+        least = np.lib.stride_tricks.sliding_window_view(value, choice)[whole].argmin(axis=1)
+        chosen.append(np.flatnonzero(whole) + least)
+    short = np.flatnonzero((room > 0) & (room < choice))
+    first = (np.cumsum(room) - room)[short]
+    chosen.append(np.array([f + value[f:f + n].argmin() for f, n in zip(first.tolist(), room[short].tolist())], np.int64))
+    return at[np.unique(np.concatenate(chosen))]
+
+
+def parts_and_runs(body: np.ndarray, offsets: np.ndarray, least: int = SENTENCES, words: int = WORDS, choice: int = CHOICE):
+    """The parts of a piece of texts and their runs, as numbers of parts.
+
+    Parts lie between all places where a sentence or a chosen run begins or ends:
+    ``(first word, text number)`` of each, and the byte places of words. Runs:
+    first part, last part, and two hashes.
+    """
+    hashes, counts, start, stop = word_hashes(body, offsets)
+    none = np.zeros(0, np.int64)
+    if not len(hashes):
+        return (none, none, (start, stop)), (none, none, none, none)
     ends = np.cumsum(counts)
-    closes[ends[counts > 0] - 1] = True
-    bounds = np.concatenate(([0], np.flatnonzero(closes) + 1))
-    lengths = np.diff(bounds)
-    parted = closes | (np.repeat(lengths > LONG, lengths) & (hashes & np.uint64(7) == 0))
-    bounds = np.concatenate(([0], np.flatnonzero(parted) + 1))
-    return hashes, bounds[:-1], bounds[1:], np.searchsorted(ends, bounds[:-1], "right"), (start, stop)
-
-
-def runs(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, text: np.ndarray, least: int = SENTENCES, words: int = WORDS):
-    """The run of each sentence that has one: its first sentence, its last, and two hashes."""
-    if not len(first):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+    closes = _sentence_ends(body, start, stop, ends[counts > 0])
+    end = np.flatnonzero(closes) + 1
+    first = np.concatenate(([0], end[:-1]))
+    text = np.searchsorted(ends, first, "right")
     begin = np.arange(len(first))
     last = np.maximum(begin + least - 1, np.searchsorted(end, first + words, "left"))
     inside = last < len(first)
     begin, last = begin[inside], last[inside]
     same = text[begin] == text[last]
-    begin, last = begin[same], last[same]
-    one, two = (run_hashes(hashes, first[begin], end[last], base) for base in _BASES)
-    return begin, last, one.view(np.int64), (mixed(two) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    chosen = _chosen(hashes, counts, words, choice)
+    run_first = np.concatenate((first[begin[same]], chosen))
+    run_end = np.concatenate((end[last[same]], chosen + words))
+    # A run of sentences may be a chosen run as well.
+    both = np.unique(np.stack((run_first, run_end)), axis=1)
+    run_first, run_end = both[0], both[1]
+    bounds = np.unique(np.concatenate(([0], end, run_first, run_end)))
+    parts = bounds[:-1]
+    one, two = (run_hashes(hashes, run_first, run_end, base) for base in _BASES)
+    runs = (np.searchsorted(bounds, run_first), np.searchsorted(bounds, run_end) - 1, one.view(np.int64),
+            (mixed(two) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return (parts, np.searchsorted(ends, parts, "right"), (start, stop)), runs
 
 
 def document_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", number: str | None = None) -> DataFrame:
-    """``doc_id, number, h1, h2, first, last, again``: the runs of each row, by sentence number.
+    """``doc_id, number, h1, h2, first, last, again``: the runs of each row, by the numbers of their parts.
 
     ``number`` tells rows apart, whatever their ids; without a column of that
     name they are numbered here, for this one reading. ``again`` marks a run that
     the same row has had before.
     """
-    small_batches(docs.sparkSession)
     numbers = F.monotonically_increasing_id() if number is None else F.col(f"`{number}`")
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"), numbers.alias("number"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -84,8 +112,7 @@ def document_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, body, offsets in pieces(batch.column(1)):
-                hashes, first, end, owner, _ = sentences(body, offsets)
-                begin, last, one, two = runs(hashes, first, end, owner)
+                (_, owner, _), (begin, last, one, two) = parts_and_runs(body, offsets)
                 if not len(begin):
                     continue
                 base = np.searchsorted(owner, owner[begin])
@@ -123,13 +150,13 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n
 
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", number: str | None = None) -> DataFrame:
-    """``doc_id, number, first, last, first_doc_ids``: the stretches of sentences that go, not touching one another.
+    """``doc_id, number, first, last, first_doc_ids``: the stretches of parts that go, not touching one another.
 
     ``first_doc_ids`` are the documents that keep the text of a stretch, without
     those that have no id.
     """
     found = settle(repeated_runs(docs, text, doc_id, number), "repeats")
-    # All sentences of one row, as whole numbers; runs of one row only.
+    # Runs of one row only, as whole numbers.
     slots = found.groupBy("number").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
     merged = F.aggregate(
         F.slice("runs", 2, F.size("runs")),
@@ -146,9 +173,9 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", number
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All rows and columns, the text without its removed sentences; texts without any stay as they are.
+    """All rows and columns, the text without its removed parts; texts without any stay as they are.
 
-    Of a removed sentence, what lies up to the next one goes with it. A document
+    Of a removed part, what lies up to the next one goes with it. A document
     may end up empty, which is the empty text.
     """
     # Stored once, so that the numbers of the cuts are those of the rows.
@@ -157,7 +184,6 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         F.col(f"`{text}`").cast("string").alias("body"), F.monotonically_increasing_id().alias("number")), "numbered")
     lists = removals(framed, "body", "row_id", "number").groupBy("number").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
     joined = framed.join(lists, "number", "left").select("row", "body", "cut")
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +191,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             for i, stretches in enumerate(cuts):
                 if stretches and texts[i]:
                     raw = texts[i].encode()
-                    _, first, _, _, (start, _) = sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    (first, _, (start, _)), _ = parts_and_runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                     places = np.concatenate((start[first], [len(raw)]))
                     keep = np.ones(len(first), bool)
                     for s in stretches:

@@ -162,39 +162,88 @@ def test_blocks_do_not_change_scores(docs, monkeypatch):
     assert one == sorted(map(repr, [tuple(round(x, 6) if isinstance(x, float) else x for x in r[:6]) for r in interpolation.score(docs).collect()]))
 
 
-def _brute_runs(rows):
-    whole = []
-    for r in rows:
-        raw = (r[1] or "").encode()
-        hashes, first, end, _, _ = spans.sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        words = re.findall(WORD, (r[1] or "").translate(LOWER))
-        assert len(words) == len(hashes)
-        for i in range(len(first)):
-            j = i + spans.SENTENCES - 1
-            while j < len(first) and end[j] - first[i] < spans.WORDS:
-                j += 1
-            if j < len(first):
-                whole.append((r[0], i, j, tuple(words[first[i]:end[j]])))
-    return whole
+def _cut(text):
+    """Words of a text in lower case, and the numbers of words at which its sentences end."""
+    words, ends = [], []
+    for line in text.split("\n"):
+        for w in re.findall(WORD, line):
+            words.append(w.translate(LOWER))
+            if re.search(r"[.!?][\"')\]]?$", w):
+                ends.append(len(words))
+        if words and (not ends or ends[-1] != len(words)):
+            ends.append(len(words))
+    return words, ends
+
+
+def _removed_words(frame, texts):
+    """Numbers of the words that go, by document."""
+    out = collections.defaultdict(set)
+    for r in spans.removals(frame).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        (first, _, _), _ = spans.parts_and_runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        bounds = [*first.tolist(), len(_cut(texts[r["doc_id"]])[0])]
+        assert r["first_doc_ids"]
+        out[r["doc_id"]] |= set(range(bounds[r["first"]], bounds[r["last"] + 1]))
+    return out
 
 
 def test_repeated_sentences(spark, rows):
-    unique = [r for i, r in enumerate(rows) if r[0] is not None and r[0] not in [x[0] for x in rows[:i]]]
-    frame = spark.createDataFrame([r[:2] for r in unique], "doc_id bigint, text string").repartition(3)
-    removed, first = collections.defaultdict(set), {}
-    for doc, i, j, words in sorted(_brute_runs(unique)):
-        if words in first:
-            removed[doc] |= set(range(i, j + 1))
-        else:
-            first[words] = doc
-    got = collections.defaultdict(set)
-    for r in spans.removals(frame).collect():
-        got[r["doc_id"]] |= set(range(r["first"], r["last"] + 1))
-        assert r["first_doc_ids"]
-    assert got == removed and removed
-    texts = {r["doc_id"]: r["text"] for r in spans.without_repeats(frame).collect()}
-    again = spans.removals(spans.without_repeats(frame)).count()
-    assert again == 0 and all(texts[r[0]] == r[1] for r in unique if r[0] not in removed)
+    texts = {}
+    for r in rows:
+        if r[0] is not None:
+            texts.setdefault(r[0], r[1])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    removed, seen, covered = _removed_words(frame, texts), set(), collections.defaultdict(set)
+    shingles = collections.defaultdict(list)
+    for doc in sorted(texts):
+        words, ends = _cut(texts[doc] or "")
+        starts = [0, *ends[:-1]]
+        for i, start in enumerate(starts):
+            j = i + 1
+            while j < len(ends) and ends[j] - start < 16:
+                j += 1
+            if j < len(ends):
+                run = tuple(words[start:ends[j]])
+                if run in seen:
+                    covered[doc] |= set(range(start, ends[j]))
+                seen.add(run)
+        for k in range(len(words) - 15):
+            shingles[tuple(words[k:k + 16])].append((doc, k))
+    # Every run of sentences that is not the first goes, and nothing goes that does not occur before.
+    assert covered and all(covered[d] <= removed[d] for d in covered)
+    later = collections.defaultdict(set)
+    for places in shingles.values():
+        for doc, k in places[1:]:
+            later[doc] |= set(range(k, k + 16))
+    assert all(removed[d] <= later[d] | covered[d] for d in removed)
+    clean = {r["doc_id"]: r["text"] for r in spans.without_repeats(frame).collect()}
+    assert all(clean[d] == t for d, t in texts.items() if not removed[d])
+    for d in [d for d in removed if removed[d]]:
+        assert re.findall(WORD, clean[d].translate(LOWER)) == [w for k, w in enumerate(_cut(texts[d])[0]) if k not in removed[d]]
+
+
+@pytest.mark.parametrize("mean", [0, 5, 13, 20, 22, 24, 60])
+def test_every_31_shared_words_are_found(spark, mean):
+    pick = random.Random(mean)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: [word() + ("." if mean and (i + shift) % mean == 0 else "") for i in range(n)]
+    data, passages = [], {}
+    for k in range(40):
+        shift = k
+        passage = prose(31 if k % 2 else 51)
+        for copy in (0, 1):
+            shift = pick.randrange(60)
+            before, after = prose(k + 9 * copy), prose(pick.randrange(30))
+            passages[2 * k + copy] = (len(before), passage)
+            data.append((2 * k + copy, " ".join([*before, *passage, *after])))
+    data += [(1000 + i, " ".join(prose(80))) for i in range(10)]
+    removed = _removed_words(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4), dict(data))
+    assert {d for d in removed if removed[d]} == {2 * k + 1 for k in range(40)}
+    for d, gone in removed.items():
+        start, passage = passages[d]
+        assert gone <= set(range(start, start + len(passage)))
+        if len(passage) == 51:
+            assert len(gone) >= 21  # all but what lies within a choice of the passage's ends
 
 
 def test_long_passages_are_found_wherever_they_stand(spark):
