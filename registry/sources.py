@@ -6,8 +6,11 @@ back by the parsers; the SQL states the rows that must come out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from indexwright.session import checkpoint_dir
 from indexwright.functions.text import search_hash
 from indexwright.operators import normalise as nq
 from indexwright.operators.durable import settle
@@ -293,6 +296,26 @@ def _(t):
     return payloads.transacted_only(paid.unionByName(declared)).groupBy("file").agg(F.count("*").alias("transacted"))
 
 
+@query("s6_files_read_back", compose("""
+    SELECT quote_id, replace(fare_brand, ' ', chr(10)) || chr(10) || '"' || carrier || '"' AS fare_brand, total_fare AS fare,
+           CASE WHEN part_key % 13 = 0 THEN 'total_fare is not a parseable amount' END AS reason FROM q""", "q"))
+def _(t):
+    # Written as CSV with line breaks and quotes inside fields, and read by line.
+    folder = f"{checkpoint_dir(t.spark)}/indexwright/supplied-{uuid.uuid4().hex}"
+    broken = F.concat(F.translate("fare_brand", " ", "\n"), F.lit('\n"'), "carrier", F.lit('"'))
+    rows = t.quotes.select(
+        F.date_format("collected_date", "yyyy-MM-dd").alias("collected_date"), F.date_format(F.date_add("collected_date", 9), "dd/MM/yyyy").alias("travel_date"),
+        F.lit("DEL").alias("origin"), F.lit("BOM").alias("destination"), F.lit("ZZ").alias("carrier"), broken.alias("fare_brand"),
+        F.when(F.col("part_key") % 13 == 0, "about").otherwise(F.format_number("total_fare", 2)).alias("total_fare"), F.lit("inr").alias("currency"),
+        F.col("quote_id").alias("source_platform"))
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    validated = supplied.validate_rows(supplied.parse_rows(supplied.read_lines(t.spark, folder)), "REGIONAL_OFFICE")
+    fares = t.quotes.select("quote_id", F.col("total_fare").alias("fare"))
+    # A row that was read wrongly has another fare than its quote, or no quote.
+    read = validated.select(F.col("source_platform").alias("quote_id"), "fare_brand", "total_fare", "reason").join(fares, "quote_id", "left")
+    return read.filter(F.col("reason").isNotNull() | (F.col("total_fare") == F.col("fare"))).select("quote_id", "fare_brand", "fare", "reason")
+
+
 # -- reference series -----------------------------------------------------------------
 
 _MONTH_NAMES = "strftime(m, '%B')"
@@ -429,7 +452,18 @@ def _(t):
     SELECT 'PRICE_INDEX' AS dataset, (SELECT count(i6) FROM strata) + (SELECT count(i6) FROM routes)
            + (SELECT count(*) FROM headline) AS observations""", "strata", "routes", "headline"))
 def _(t):
-    return sinks.envelope(_extract(t), "PRICE_INDEX").select("dataset", "observations")
+    return sinks.envelope(_extract(t), sinks.Dataset()).select(F.col("dataset.id").alias("dataset"), "observations")
+
+
+@query("s10_json_read_back", compose(f"""
+    SELECT 'D' AS "FREQ", {day('obs_date')} AS "TIME_PERIOD", 'STRATUM' AS "LEVEL", route AS "ROUTE", bucket AS "LEAD_TIME",
+           {_DEC} AS "OBS_VALUE", CAST(1 AS BIGINT) AS "REVISION", CAST(NULL AS VARCHAR) AS "STD_ERROR" FROM strata WHERE i6 IS NOT NULL
+    UNION ALL SELECT 'X', {day('obs_date')}, 'ROUTE', route, '', {_DEC}, 1, NULL FROM routes WHERE i6 IS NOT NULL
+    UNION ALL SELECT 'D', {day('obs_date')}, 'HEADLINE', '', '', {_DEC}, 1, NULL FROM headline""", "strata", "routes", "headline"))
+def _(t):
+    path = f"{checkpoint_dir(t.spark)}/indexwright/extract-{uuid.uuid4().hex}"
+    sinks.write_json(_extract(t), path)
+    return sinks.read_json(t.spark, path).select("FREQ", "TIME_PERIOD", "LEVEL", "ROUTE", "LEAD_TIME", "OBS_VALUE", "REVISION", "STD_ERROR")
 
 
 @query("s11_nonconforming_codes", compose("""
@@ -453,6 +487,24 @@ def _(t):
     return sinks.identity_conflicts(incoming, stored).select("obs_date", "level", "route", "conflict")
 
 
+@query("s12_appended_rows", compose(f"""
+    SELECT {day('obs_date')} AS obs_date, 'STRATUM' AS level, route, bucket, i6 / 1000000.0 AS index_value FROM strata WHERE i6 IS NOT NULL
+    UNION ALL SELECT {day('obs_date')}, 'ROUTE', route, NULL, i6 / 1000000.0 FROM routes WHERE i6 IS NOT NULL
+    UNION ALL SELECT {day('obs_date')}, 'HEADLINE', NULL, NULL, i6 / 1000000.0 FROM headline""", "strata", "routes", "headline"))
+def _(t):
+    # One append a level; a second writer of the headline prepared meanwhile and is refused.
+    stored = sinks.ObservationTable(t.spark, f"{checkpoint_dir(t.spark)}/indexwright/observations-{uuid.uuid4().hex}")
+    rows = settle(t.run.observations(), "observations")
+    late = stored.prepare(rows.filter("level = 'HEADLINE'"))
+    for level in ("STRATUM", "ROUTE", "HEADLINE"):
+        stored.append(rows.filter(F.col("level") == level))
+    try:
+        late.commit()
+    except ValueError:
+        return stored.rows().select("obs_date", "level", "route", "bucket", "index_value")
+    raise AssertionError("both writers of one identity succeeded")
+
+
 # -- normalisation of offers -----------------------------------------------------------
 
 

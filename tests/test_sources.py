@@ -222,7 +222,30 @@ def test_guarded_append(spark, tmp_path):
         again = _observations(spark, [("2026-07-02", "HEADLINE", None, None, "100", "1", 1)])
         sinks.append_observations(again.unionByName(again), path)
     sinks.append_observations(first.withColumn("revision", F.lit(2)), path)
-    assert spark.read.parquet(path).count() == 4
+    assert sinks.ObservationTable(spark, path).rows().count() == 4
+
+
+def test_interleaved_appends(spark, tmp_path):
+    table = sinks.ObservationTable(spark, str(tmp_path / "obs"))
+    head = _observations(spark, [("2026-07-01", "HEADLINE", None, None, "100.25", "1", 1)])
+    other = _observations(spark, [("2026-07-01", "ROUTE", "A-B", None, "101", "1", 1), ("2026-07-02", "HEADLINE", None, None, "102", "1", 1)])
+    one, two, three = table.prepare(head), table.prepare(head), table.prepare(other)
+    assert table.rows().count() == 0
+    assert three.commit() == 1 and two.commit() == 2
+    with pytest.raises(ValueError):
+        one.commit()
+    assert [str(r["index_value"]) for r in table.rows().orderBy("level", "obs_date").collect()] == ["100.250000", "102.000000", "101.000000"]
+    with pytest.raises(ValueError):
+        table.prepare(other)
+    table.append(head.withColumn("revision", F.lit(2)))
+    table.append(head.limit(0))
+    assert table.rows().count() == 4 and sorted(table.runs()) == [1, 2, 3, 4]
+
+
+def test_a_taken_number_is_not_taken_again(spark, tmp_path):
+    table = sinks.ObservationTable(spark, str(tmp_path / "obs"))
+    assert table._take(1, "a" * 32) and not table._take(1, "b" * 32) and table._take(2, "b" * 32)
+    assert table.runs() == {1: "a" * 32, 2: "b" * 32}
 
 
 def test_extracts_round_trip(spark, tmp_path):
@@ -236,13 +259,53 @@ def test_extracts_round_trip(spark, tmp_path):
     assert back["OBS_VALUE"] == "110.234567" and back["METHODOLOGY_VERSION"] == "1"
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
     assert text.splitlines()[1] == "D,2026-07-01,ROUTE,DEL-BOM,,110.234567,1,w,1,PUBLISHED,,"
-    sinks.write_json(rows, str(tmp_path / "json"), str(tmp_path / "env"))
-    line = json.loads("".join(p.read_text() for p in (tmp_path / "json").glob("*.json")))
-    assert line["OBS_VALUE"] == "110.234567"
-    assert spark.read.json(str(tmp_path / "env")).first()["observations"] == 1
+    at = F.lit("2026-07-03 04:05:06").cast("timestamp")
+    sinks.write_json(rows, str(tmp_path / "json"), sinks.Dataset(agency="Office"), at)
+    line = json.loads("".join(p.read_text() for p in (tmp_path / "json" / "data").glob("*.json")))
+    assert line["OBS_VALUE"] == "110.234567" and line["REVISION"] == 1 and line["STD_ERROR"] is None
+    said = json.loads("".join(p.read_text() for p in (tmp_path / "json" / "envelope").glob("*.json")))
+    assert said["dataset"]["agency"] == "Office" and set(said["dataset"]) == {"id", "name", "agency", "version", "description"}
+    assert said["observations"] == 1 and said["extracted_at"].startswith("2026-07-03T04:05:06")
+    assert sinks.read_json(spark, str(tmp_path / "json")).first()["REVISION"] == 1
+    rows.select("FREQ").write.json(str(tmp_path / "broken" / "data"))
+    with pytest.raises(Exception):
+        sinks.read_json(spark, str(tmp_path / "broken"))
     assert sinks.dataset_schema()["LEVEL"].metadata["codes"] == ["HEADLINE", "ROUTE", "STRATUM"]
 
 
+TRICKY = [
+    'plain,5" pipe,x', '"two\nlines","say ""hi""\n\nagain",end', '"a"b,c"d,"', '"",""\n', "", "   ", ',,"\n"', '"ends in quote""",y', '"x"",\n""y",z', 'a "b\nc" d', "last",
+]
+
+
+@pytest.mark.parametrize("block", ["64", "1000000"])
+def test_records_with_line_breaks_like_a_csv_reader(spark, tmp_path, block):
+    import csv
+    import io
+    import random
+    pick, wants = random.Random(3), {}
+    for name in ("a", "b", "c"):
+        rows = ["collected_date,travel_date"] + [pick.choice(TRICKY[:3] + TRICKY[4:]) for _ in range(300 if name != "c" else 3)]
+        rows = [r if r.count('"') % 2 == 0 or r.startswith("plain") else r + '"' for r in rows]
+        text = "\n".join(rows) + "\n"
+        (tmp_path / f"{name}.csv").write_text(text)
+        read = [r for r in csv.reader(io.StringIO(text, newline="")) if r and (len(r) > 1 or r[0].strip())]
+        wants[f"{name}.csv"] = read
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = supplied.read_lines(spark, str(tmp_path)).select(
+            F.element_at(F.split("file", "/"), -1).alias("file"), "row_number", supplied._cells(F.col("line")).alias("cells")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    for name, read in wants.items():
+        rows = sorted((r["row_number"], r["cells"]) for r in got if r["file"] == name)
+        assert [n for n, _ in rows] == list(range(1, len(read) + 1))
+        assert [c for _, c in rows] == read
+
+
 def test_files_without_rows_are_reported(spark, tmp_path):
     header = ",".join(supplied.REQUIRED)
     (tmp_path / "empty.csv").write_text("")
