@@ -75,12 +75,15 @@ def elementary(stats: DataFrame, min_quotes: int = MIN_QUOTES) -> DataFrame:
     )
 
 
-def chain(stats: DataFrame, min_quotes: int = MIN_QUOTES) -> DataFrame:
+def chain(stats: DataFrame, min_quotes: int = MIN_QUOTES, states: DataFrame | None = None) -> DataFrame:
     """Chain every stratum through its days, rounding at each link.
 
     A series is folded in one array of at most one element per collection day.
     The first day a stratum is quoted is 100; a day without a usable mean leaves
     the index NULL and the next usable day links onto the last value before it.
+    ``states`` holds the last value (``state``) of strata whose earlier days are
+    not in ``stats``: their chains go on from there. Values are rounded at each
+    link, so this gives what folding all days gives.
     """
     visited = stats.filter(F.col("raw_quotes") > 0)
     day = F.struct(
@@ -88,10 +91,14 @@ def chain(stats: DataFrame, min_quotes: int = MIN_QUOTES) -> DataFrame:
         F.when(F.col("accepted") >= min_quotes, F.exp("mean_log")).alias("gm"),
     )
     series = visited.groupBy(*STRATUM).agg(F.array_sort(F.collect_list(day)).alias("days"))
+    if states is None:
+        series = series.withColumn("state", F.lit(None).cast(VALUE))
+    else:
+        series = series.join(states.select(*STRATUM, "state"), STRATUM, "left")
     link = f"""
         aggregate(
           days,
-          named_struct('last', cast(null as double),
+          named_struct('last', cast(state as double),
                        'out', cast(array() as array<struct<idx:double,prev:double>>)),
           (acc, d) -> named_struct(
             'last', coalesce(

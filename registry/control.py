@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from indexwright.operators.elementary import stratum_index
 from indexwright.plans import admission, publication
 from indexwright.plans.quality import mix
-from indexwright.streaming.incremental import revised_strata
+from indexwright.operators.durable import settle
+from indexwright.operators.matching import collection_calendar
+from indexwright.streaming import incremental
 from registry.base import query
 from registry.sql_parts import PARTS, compose, day
 
@@ -275,4 +277,38 @@ def _(t):
     late = F.col("part_key") % 50 == 0
     stored = stratum_index(t.quotes.filter(~late)).filter("index_value is not null").select(
         "route", "bucket", "obs_date", "index_value", F.lit(1).alias("revision"))
-    return revised_strata(t.quotes.filter(late), t.quotes, stored)
+    return incremental.revised_strata(t.quotes.filter(late), t.quotes, stored)
+
+
+def _resumed(t):
+    """What a batch with the late parts appends, and the chain states after it."""
+    late = t.quotes.filter(F.col("part_key") % 50 == 0)
+    earlier = t.quotes.filter(F.col("part_key") % 50 != 0)
+    known = earlier.select("collected_date").distinct()
+    stored = settle(stratum_index(earlier).filter("index_value is not null").select(
+        "route", "bucket", "obs_date", "index_value", F.lit(1).alias("revision")), "stored")
+    chains = settle(incremental.chain_states(stored).withColumn("batch", F.lit(0)), "chains")
+    starts = settle(incremental.refold_starts(late, known, chains), "starts")
+    first = starts.agg(F.min("start")).first()[0]
+    if first is None:
+        return stored.filter("false"), chains.drop("batch")
+    fresh = settle(incremental.resumed_strata(starts, first, t.quotes, collection_calendar(t.quotes), chains), "fresh")
+    rows = incremental.revisions(fresh, stored.join(starts, ["route", "bucket"]).filter("obs_date >= start"))
+    after = incremental.chain_states(fresh, starts, chains).withColumn("batch", F.lit(1))
+    return rows, incremental.newest_states(chains.unionByName(after)).filter("state is not null")
+
+
+@query("st1_resumed_chains", compose(f"""
+    SELECT coalesce(n.route, o.route) AS route, coalesce(n.bucket, o.bucket) AS bucket, {day('coalesce(n.obs_date, o.obs_date)')} AS obs_date,
+           n.index_value, CAST(CASE WHEN o.index_value IS NULL THEN 1 ELSE 2 END AS BIGINT) AS revision
+    FROM strata n FULL JOIN strata_0 o ON o.route = n.route AND o.bucket = n.bucket AND o.obs_date = n.obs_date
+    WHERE n.index_value IS DISTINCT FROM o.index_value""", "q", "strata", extra=_earlier_parts()))
+def _(t):
+    return _resumed(t)[0]
+
+
+@query("st1_chain_states", compose(f"""
+    SELECT route, bucket, {day("date_trunc('month', obs_date)")} AS month, arg_max(index_value, obs_date) AS state
+    FROM strata WHERE index_value IS NOT NULL GROUP BY ALL""", "q", "strata"))
+def _(t):
+    return _resumed(t)[1]

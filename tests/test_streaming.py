@@ -1,9 +1,11 @@
 """Incremental ingest gives the same index as one run over everything."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from indexwright.operators.elementary import stratum_index
-from indexwright.streaming.incremental import inserts_a_day, run_incremental
+from indexwright.streaming.incremental import chain_states, inserts_a_day, newest_states, run_incremental
 
 DAYS = ["2026-07-01", "2026-07-02", "2026-07-03", "2026-07-04"]
 
@@ -67,3 +69,40 @@ def test_inserting_a_day_is_noticed(spark):
     assert inserts_a_day(_quotes(spark, DAYS[1:2]), _quotes(spark, [DAYS[0], DAYS[2]]))
     assert not inserts_a_day(_quotes(spark, DAYS[3:]), _quotes(spark, DAYS[:3]))
     assert not inserts_a_day(_quotes(spark, DAYS[:1]), _quotes(spark, DAYS[:3]))
+
+
+MONTHS = ["2026-01-30", "2026-01-31", "2026-02-02", "2026-02-20", "2026-03-01", "2026-03-15", "2026-04-01"]
+
+
+def test_a_batch_reads_nothing_before_the_month_it_touches(spark, tmp_path):
+    """Stored quotes of earlier months are made unreadable; the chains go on from their states."""
+    places = [str(tmp_path / n) for n in ("in", "quotes", "index", "state")]
+    arrivals = [
+        _quotes(spark, MONTHS[:-2]),
+        _quotes(spark, MONTHS[-2:]),
+        # Late quotes of one route in March, on a day known and on a day between.
+        _quotes(spark, ["2026-03-01", "2026-03-10"], bump=2).filter("route = 'A-B'"),
+    ]
+    schema = arrivals[0].schema
+    everything = arrivals[0]
+    for number, part in enumerate(arrivals):
+        part.coalesce(1).write.mode("append").parquet(places[0])
+        if number:
+            everything = everything.unionByName(part)
+            for file in (tmp_path / "quotes").glob("*/collected_date=2026-01-*/*"):
+                file.write_bytes(b"unreadable")
+        run_incremental(spark, *places, schema)
+        _same_as_full_run(spark, everything, places[2])
+    states = spark.read.parquet(f"{places[2]}-chains")
+    assert states.filter("batch = 2").agg(F.min("month")).first()[0].isoformat() == "2026-03-01"
+
+
+def test_a_month_that_loses_its_values_hides_its_state(spark):
+    rows = "route string, bucket string, obs_date date, index_value decimal(18,6)"
+    old = spark.createDataFrame([("A-B", "T1", date.fromisoformat("2026-01-05"), 100), ("A-B", "T1", date.fromisoformat("2026-02-05"), 101)],
+                                "route string, bucket string, obs_date date, v int").selectExpr("route", "bucket", "obs_date", "cast(v as decimal(18,6)) index_value")
+    chains = chain_states(old).withColumn("batch", F.lit(0))
+    starts = spark.createDataFrame([("A-B", "T1", date.fromisoformat("2026-02-01"))], "route string, bucket string, start date")
+    after = chain_states(spark.createDataFrame([], rows), starts, chains).withColumn("batch", F.lit(1))
+    found = {r["month"].isoformat(): r["state"] for r in newest_states(chains.unionByName(after)).collect()}
+    assert found == {"2026-01-01": 100, "2026-02-01": None}
