@@ -1,8 +1,10 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-Each part of the table sends every owner of a fingerprint range its sorted
-fingerprints, Golomb-Rice coded: a gap costs little more than its logarithm. The
-owner answers each part with a bitmap of those that were sent more than once.
+Each part of the table sends every owner of a fingerprint range its sorted distinct
+fingerprints, Golomb-Rice coded: a gap costs little more than its logarithm. One bit
+each says whether the part itself repeats it, so a text with a third of all rows is
+one entry a part. The owner answers each part with a bitmap of those that were sent
+more than once or with that bit; there are as many owners as the table's rows need.
 Only the texts of these suspects are shuffled, and grouping them by their bytes
 decides. Rows that are alike are combined before each shuffle.
 """
@@ -23,6 +25,8 @@ from indexwright.operators.durable import settle
 
 #: Bits of a fingerprint: of 10^11 texts, one in 3,000 is a suspect without a copy.
 BITS = 48
+#: Rows for which one owner is made, which bounds the fingerprints it decodes.
+OWNER_ROWS = 2_000_000
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -63,15 +67,16 @@ def _fingerprints(docs: DataFrame, text: str, doc_id: str, owners: int) -> DataF
             yield _rows(n, doc_id=batch.column(0), part=[part] * n, number=range(row, row + n), sha=[d.hex() for d in digests],
                         print=prints, points=[len(t) for t in texts])
             row += n
-        values = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        values, copies = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
         bounds = np.searchsorted(values, np.arange(owners + 1, dtype=np.int64) * width)
         for owner in np.flatnonzero(np.diff(bounds)).tolist():
             mine = values[bounds[owner]:bounds[owner + 1]]
             k, unary, rest = golomb_encode(mine, owner * width)
-            yield _rows(1, part=[part], owner=[owner], n=[len(mine)], k=[k], unary=[unary], rest=[rest])
+            again = np.packbits(copies[bounds[owner]:bounds[owner + 1]] > 1).tobytes()
+            yield _rows(1, part=[part], owner=[owner], n=[len(mine)], k=[k], unary=[unary], rest=[rest], again=[again])
 
     fields = {"doc_id": slim.schema["doc_id"].dataType, "part": "int", "number": "int", "sha": "string", "print": "bigint",
-              "points": "bigint", "owner": "int", "n": "int", "k": "int", "unary": "binary", "rest": "binary"}
+              "points": "bigint", "owner": "int", "n": "int", "k": "int", "unary": "binary", "rest": "binary", "again": "binary"}
     types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def _rows(size: int, **given) -> pa.RecordBatch:
@@ -90,15 +95,20 @@ def _fingerprints(docs: DataFrame, text: str, doc_id: str, owners: int) -> DataF
     return slim.mapInArrow(sent, schema)
 
 
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8))[:n].astype(bool)
+
+
 def _answers(messages: DataFrame, owners: int) -> DataFrame:
-    """For each message, a bitmap: which of its fingerprints any message repeats."""
+    """For each message, a bitmap: which of its fingerprints another part has too, or any part twice."""
     width = -(-(1 << BITS) // owners)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         lists = [golomb_decode(r["n"], r["owner"] * width, r["k"], r["unary"], r["rest"]) for r in rows]
-        values, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        again = counts[where] > 1
+        twice = np.concatenate([_bits(r["again"], r["n"]) for r in rows])
+        values, where = np.unique(np.concatenate(lists), return_inverse=True)
+        again = np.bincount(where, 1 + twice, len(values))[where] > 1
         cuts = np.cumsum([r["n"] for r in rows])[:-1]
         maps = [np.packbits(m).tobytes() for m in np.split(again, cuts)]
         return pa.table({"part": pa.array([r["part"] for r in rows], pa.int32()), "owner": pa.array([r["owner"] for r in rows], pa.int32()),
@@ -112,11 +122,10 @@ def _suspects(rows: DataFrame, answers: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def marked(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(rows["print"].to_numpy(), kind="stable")
+        where = np.unique(rows["print"].to_numpy(), return_inverse=True)[1]
         parts = sorted(answers.to_pylist(), key=lambda a: a["owner"])
-        bits = [np.unpackbits(np.frombuffer(a["bitmap"], np.uint8))[:a["n"]] for a in parts]
-        again = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-        return rows.select(["doc_id"]).take(pa.array(order[again]))
+        again = np.concatenate([_bits(a["bitmap"], a["n"]) for a in parts] or [np.zeros(0, bool)])
+        return rows.select(["doc_id"]).filter(pa.array(again[where]))
 
     return rows.select("doc_id", "part", "print").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(marked, f"doc_id {kind}")
 
@@ -137,10 +146,10 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ow
     id and equal length, any one. Other columns are not read. An empty
     table gives none.
     """
-    spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if owners is None:
+        owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     stored = settle(_fingerprints(docs, text, doc_id, owners), "fingerprints")
-    rows, messages = stored.filter("owner is null"), stored.filter("owner is not null").select("part", "owner", "n", "k", "unary", "rest")
+    rows, messages = stored.filter("owner is null"), stored.filter("owner is not null").select("part", "owner", "n", "k", "unary", "rest", "again")
     suspects = _suspects(rows, _answers(messages, owners)).distinct().withColumnRenamed("doc_id", "suspect")
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), without_blanks(F.col(f"`{text}`")).alias("bare"))
     texts = texts.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")

@@ -366,6 +366,25 @@ def test_exact_groups(docs, rows):
     assert sorted(left) == sorted(groups)
 
 
+def test_hot_texts_are_one_entry_a_part(spark):
+    """A third of all rows are one text, over many parts and owners: whole results, and messages that do not grow with copies."""
+    texts = ["the same text" if i % 3 == 0 else f"text number {i // 2 if i % 5 == 0 else i}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(23, "doc_id")
+    got = exact.exact_groups(docs, owners=211).collect()
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t.replace(" ", "")].append(i)
+    best = {t: min(own, key=lambda i: (-len(texts[i]), i)) for t, own in groups.items()}
+    bare = [t.replace(" ", "") for t in texts]
+    _same([(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got],
+          [(i, best[t], len(groups[t]), best[t] == i) for i, t in enumerate(bare)])
+    messages = exact._fingerprints(docs, "text", "doc_id", 1).filter("owner is not null")
+    sent = {r["part"]: r["n"] for r in messages.collect()}
+    parts = docs.selectExpr("spark_partition_id() as part", "text").groupBy("part").agg({"text": "count"}).collect()
+    distinct = {r["part"]: r["n"] for r in docs.selectExpr("spark_partition_id() as part", "text").distinct().groupBy("part").count().withColumnRenamed("count", "n").collect()}
+    assert sent == distinct and sum(sent.values()) < sum(r[1] for r in parts)
+
+
 def test_golomb_codes():
     pick = np.random.default_rng(7)
     for n in (1, 2, 100, 5000):
