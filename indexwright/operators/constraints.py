@@ -54,6 +54,19 @@ def observation_rules() -> dict[str, Column]:
     }
 
 
+def publication_rules() -> dict[str, Column]:
+    """What must hold for a figure's publication record; a blank name or reason is none."""
+    def given(name: str) -> Column:
+        return F.length(F.trim(F.coalesce(F.col(name), F.lit("")))) > 0
+
+    return {
+        "state_known": F.col("state").isin("PENDING", "APPROVED", "PUBLISHED", "WITHDRAWN"),
+        "approval_is_attributed": (F.col("state") == "PENDING") | (given("approved_by") & F.col("approved_at").isNotNull()),
+        "revision_has_reason": F.col("supersedes_id").isNull() | given("revision_reason"),
+        "withdrawal_has_reason": (F.col("state") != "WITHDRAWN") | given("withdrawn_reason"),
+    }
+
+
 def _broken(rule: Column) -> Column:
     """Unknown counts as broken: a constraint on absent data is not satisfied."""
     return ~F.coalesce(rule, F.lit(False))

@@ -6,11 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from indexwright.operators import constraints
+from indexwright.operators.durable import settle
 from indexwright.operators.elementary import stratum_index
+from indexwright.operators.matching import collection_calendar
 from indexwright.plans import admission, publication
 from indexwright.plans.quality import mix
-from indexwright.operators.durable import settle
-from indexwright.operators.matching import collection_calendar
 from indexwright.streaming import incremental
 from registry.base import query
 from registry.sql_parts import PARTS, compose, day
@@ -137,6 +138,26 @@ def _(t):
 _AGENT = "indexbot/1.0"
 
 
+# What the records of the events break when every event is taken as it came.
+_RECORDS = {**_FIGURES, "record": """
+    SELECT obs_id, NOT fixes AND ((st IN ('P', 'F') AND k % 13 = 0) OR (st = 'O' AND published)) AS unsigned_, withdrawn AND k % 19 = 0 AS unreasoned FROM fig"""}
+
+
+@query("p7_publication_constraints", compose("""
+    SELECT r.rule, CASE r.rule WHEN 'approval_is_attributed' THEN (SELECT count(*) FROM record WHERE unsigned_)
+                               WHEN 'withdrawal_has_reason' THEN (SELECT count(*) FROM record WHERE unreasoned) ELSE 0 END AS violations
+    FROM (VALUES ('state_known'), ('approval_is_attributed'), ('revision_has_reason'), ('withdrawal_has_reason')) r(rule)""", extra=_RECORDS))
+def _(t):
+    return constraints.check(publication.recorded_publications(_events(t)), constraints.publication_rules())
+
+
+@query("p7_quarantined_publications", compose("""
+    SELECT obs_id, concat_ws(',', CASE WHEN unsigned_ THEN 'approval_is_attributed' END, CASE WHEN unreasoned THEN 'withdrawal_has_reason' END) AS broken_rules
+    FROM record WHERE unsigned_ OR unreasoned""", extra=_RECORDS))
+def _(t):
+    return constraints.quarantine(publication.recorded_publications(_events(t)), constraints.publication_rules()).select("obs_id", "broken_rules")
+
+
 def _snapshots(t):
     users = t.table("events").groupBy(F.col("user_id").alias("source")).agg(F.max(F.col("ts").cast("timestamp")).alias("fetched_at"))
     kind = F.col("source") % 6

@@ -10,7 +10,7 @@ from indexwright.operators import aggregate, imputation, matching, screening, un
 from indexwright.operators.elementary import chain, elementary, stratum_days, stratum_index
 from indexwright.operators.quantiles import ranked_quantiles
 from indexwright.plans.index_run import stratum_table
-from indexwright.plans.replay import input_hash, replay_check
+from indexwright.plans.replay import input_hash, observation_hashes, replay_check, with_input_hash
 from indexwright.plans.sensitivity import threshold_sweep
 from registry.base import query
 from registry.sql_parts import chain_parts, compose, day, he, hes
@@ -510,6 +510,30 @@ def _(t):
     return input_hash(t.quotes, ["route", "bucket", "collected_date"])
 
 
+_LEVEL_TREE = {
+    "per_level": """SELECT 'STRATUM' AS level, route, bucket, collected_date AS obs_date, pair_key, fare_c FROM q
+                    UNION ALL SELECT 'ROUTE', route, NULL, collected_date, pair_key, fare_c FROM q
+                    UNION ALL SELECT 'HEADLINE', NULL, NULL, collected_date, pair_key, fare_c FROM q""",
+    "lv_leaf": """SELECT level, route, bucket, obs_date, sha256(pair_key || ':' || printf('%d.%02d', fare_c // 100, fare_c % 100) || '*' || count(*)) AS digest
+                  FROM per_level GROUP BY level, route, bucket, obs_date, pair_key, fare_c""",
+    "lv_node5": "SELECT level, route, bucket, obs_date, left(digest, 5) AS place, sha256(string_agg(digest, '|' ORDER BY digest)) AS digest FROM lv_leaf GROUP BY ALL",
+    "lv_node2": "SELECT level, route, bucket, obs_date, left(place, 2) AS top, sha256(string_agg(digest, '|' ORDER BY place)) AS digest FROM lv_node5 GROUP BY ALL",
+    "lv_tree": "SELECT level, route, bucket, obs_date, sha256(string_agg(digest, '|' ORDER BY top)) AS input_hash FROM lv_node2 GROUP BY ALL",
+    "lv_rows": """SELECT 'STRATUM' AS level, route, bucket, obs_date, index_value FROM strata WHERE index_value IS NOT NULL
+                  UNION ALL SELECT 'ROUTE', route, NULL, obs_date, i6 / 1000000.0 FROM routes WHERE i6 IS NOT NULL
+                  UNION ALL SELECT 'HEADLINE', NULL, NULL, obs_date, i6 / 1000000.0 FROM headline""",
+}
+
+
+@query("a12_observation_hashes", compose(f"""
+    SELECT {OBS.replace('obs_date', 'o.obs_date')} AS obs_date, o.level, o.route, o.bucket, o.index_value, coalesce(t.input_hash, sha256('')) AS input_hash
+    FROM lv_rows o LEFT JOIN lv_tree t ON t.level = o.level AND t.obs_date = o.obs_date
+     AND t.route IS NOT DISTINCT FROM o.route AND t.bucket IS NOT DISTINCT FROM o.bucket""", "q", "strata", "routes", "headline", extra=_LEVEL_TREE))
+def _(t):
+    rows = with_input_hash(t.run.observations(), observation_hashes(t.quotes))
+    return rows.select("obs_date", "level", "route", "bucket", "index_value", "input_hash")
+
+
 @query("a12b_replay_mismatches", compose(f"""
     SELECT coalesce(a.route, b.route) AS route, coalesce(a.bucket, b.bucket) AS bucket,
            strftime(coalesce(a.obs_date, b.obs_date), '%Y-%m-%d') AS obs_date,

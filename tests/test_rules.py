@@ -298,3 +298,16 @@ def test_lead_time_profile_without_baseline(spark):
     rows = spark.createDataFrame([("T1", "A-B", 10), ("T7", "A-B", 20)], "bucket string, route string, f int").selectExpr(
         "bucket", "route", "cast(f as decimal(12,2)) total_fare", "date'2026-07-01' collected_date")
     assert all(r["relative_to_t21"] is None for r in quality.lead_time_profile(rows).collect())
+
+
+def test_publication_records_need_names_and_reasons(spark):
+    rows = [("a", 0, "SUBMIT", None, None, None), ("b", 1, "APPROVE", "ann", None, None), ("c", 1, "PUBLISH", None, None, None),
+            ("d", 1, "APPROVE", " ", None, None), ("e", 0, "REVISE", "bob", None, "b"), ("f", 0, "REVISE", "bob", "why", "b"),
+            ("g", 1, "APPROVE", "ann", None, None), ("g", 2, "PUBLISH", None, None, None), ("g", 3, "WITHDRAW", "ann", "", None),
+            ("h", 1, "APPROVE", "ann", None, None), ("h", 2, "APPROVE", None, None, None), ("i", 1, "ERASE", "ann", None, None)]
+    events = spark.createDataFrame(rows, "obs_id string, n int, action string, actor string, reason string, supersedes_id string").selectExpr(
+        "obs_id", "timestamp_seconds(n) event_ts", "action", "actor", "reason", "supersedes_id")
+    found = constraints.quarantine(publication.recorded_publications(events), constraints.publication_rules())
+    assert {r["obs_id"]: r["broken_rules"] for r in found.collect()} == {
+        "c": ["approval_is_attributed"], "d": ["approval_is_attributed"], "e": ["revision_has_reason"], "g": ["withdrawal_has_reason"],
+        "h": ["approval_is_attributed"], "i": ["state_known", "approval_is_attributed"]}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from indexwright.operators import quantiles, screening
 from indexwright.operators.matching import relatives
-from indexwright.plans.replay import input_hash
+from indexwright.plans.replay import input_hash, observation_hashes, with_input_hash
 
 
 def _skewed(spark, n=3000):
@@ -89,3 +89,25 @@ def test_digest_depends_on_the_group_alone(spark):
     assert input_hash(changed, ["route"]).filter("route = 'HOT'").first()["input_hash"] != once["HOT"]["input_hash"]
     twice = q.filter("route = 'X'").unionByName(q.filter("route = 'X'"))
     assert input_hash(twice, ["route"]).first()["input_hash"] != once["X"]["input_hash"]
+
+
+def test_hashes_of_three_levels(spark):
+    """Levels hold the digest of all their quotes; an append changes the hashes of its own day only."""
+    columns = "route string, bucket string, d string, pair_key string, f int"
+    rows = [(r, b, d, f"k{i}", 100 + i) for r in ("X", "Y") for b in ("T1", "T7") for d in ("2026-01-01", "2026-01-02") for i in range(20)]
+    frame = lambda rows: spark.createDataFrame(rows, columns).selectExpr(
+        "route", "bucket", "cast(d as date) collected_date", "pair_key", "cast(f as decimal(12,2)) total_fare")
+    quotes = frame(rows)
+    hashes = {(str(r["obs_date"]), r["level"], r["route"], r["bucket"]): r["input_hash"] for r in observation_hashes(quotes).collect()}
+    for level, keys in (("STRATUM", ["route", "bucket"]), ("ROUTE", ["route"]), ("HEADLINE", [])):
+        for r in input_hash(quotes, ["collected_date", *keys]).collect():
+            place = [r[k] if k in keys else None for k in ("route", "bucket")]
+            assert hashes[str(r["collected_date"]), level, *place] == r["input_hash"]
+    assert len(hashes) == 2 * (4 + 2 + 1)
+    more = {(str(r["obs_date"]), r["level"], r["route"], r["bucket"]): r["input_hash"]
+            for r in observation_hashes(quotes.unionByName(frame([("X", "T1", "2026-01-02", "new", 7)]))).collect()}
+    assert {k for k in more if more[k] != hashes[k]} == {
+        ("2026-01-02", "STRATUM", "X", "T1"), ("2026-01-02", "ROUTE", "X", None), ("2026-01-02", "HEADLINE", None, None)}
+    lone = spark.createDataFrame([("2026-01-09", "ROUTE", "X", None)], "d string, level string, route string, bucket string").selectExpr(
+        "cast(d as date) obs_date", "level", "route", "bucket")
+    assert with_input_hash(lone, observation_hashes(quotes)).first()["input_hash"].startswith("e3b0c44298fc1c14")
