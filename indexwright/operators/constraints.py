@@ -63,7 +63,7 @@ def publication_rules() -> dict[str, Column]:
         "state_known": F.col("state").isin("PENDING", "APPROVED", "PUBLISHED", "WITHDRAWN"),
         "approval_is_attributed": (F.col("state") == "PENDING") | (given("approved_by") & F.col("approved_at").isNotNull()),
         "revision_has_reason": F.col("supersedes_id").isNull() | given("revision_reason"),
-        "withdrawal_has_reason": (F.col("state") != "WITHDRAWN") | given("withdrawn_reason"),
+        "withdrawal_has_reason": ~F.col("state").eqNullSafe(F.lit("WITHDRAWN")) | given("withdrawn_reason"),
     }
 
 
