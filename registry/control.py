@@ -112,6 +112,33 @@ def _(t):
     return publication.current_published(_figures(t), _events(t), as_of=moment).select("obs_id", "index_value")
 
 
+# A correction claims its figure from the moment it is signed, which is never before the figure came out.
+_STANDING = {**_FIGURES, "standing": """
+    SELECT f.*, f.d + INTERVAL 2 DAY AS since, coalesce(n.d, CASE WHEN f.gone THEN f.d + INTERVAL 3 DAY END) AS until
+    FROM law f LEFT JOIN law n ON n.fixes AND n.signed AND n.k = f.k + 1 WHERE f.came_out"""}
+
+
+@query("k3_standing_periods", compose("""
+    SELECT obs_id, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(until, '%Y-%m-%d %H:%M:%S') AS until,
+           CASE WHEN fixes THEN 'bob' ELSE 'ann' END AS approved_by, CASE WHEN fixes THEN CAST(k - 1 AS VARCHAR) END AS supersedes_id
+    FROM standing WHERE until IS NULL OR since < until""", extra=_STANDING))
+def _(t):
+    return publication.standing_periods(_events(t)).select("obs_id", "since", "until", "approved_by", "supersedes_id")
+
+
+@query("k3_published_month_ends", compose("""
+    SELECT strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, level, count(*) AS figures, CAST(sum(CAST(fixes AS BIGINT)) AS BIGINT) AS corrections,
+           CAST(sum(CAST(round(v * 100) AS BIGINT)) AS BIGINT) AS hundredths
+    FROM (SELECT DISTINCT CAST(last_day(CAST(o_orderdate AS DATE)) AS TIMESTAMP) AS moment FROM orders) m
+    JOIN standing s ON s.since <= m.moment AND (s.until IS NULL OR s.until > m.moment)
+    GROUP BY moment, level""", extra=_STANDING))
+def _(t):
+    ends = t.table("orders").select(F.last_day(F.to_date("o_orderdate")).cast("timestamp").alias("moment"))
+    return publication.published_at(_figures(t), _events(t), ends).groupBy("moment", "level").agg(
+        F.count("*").alias("figures"), F.sum(F.col("is_revised").cast("bigint")).alias("corrections"),
+        F.sum((F.col("index_value") * 100).cast("bigint")).alias("hundredths"))
+
+
 @query("j4_superseded_excluded", compose(f"""
     SELECT level, count(*) AS published, CAST(sum(CASE WHEN {_CURRENT} THEN 1 ELSE 0 END) AS BIGINT) AS standing
     FROM law f WHERE came_out AND NOT gone GROUP BY level""".replace("NOT EXISTS (SELECT 1 FROM law n WHERE n.fixes AND n.signed AND n.k = f.k + 1)",
