@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from indexwright.operators.durable import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is no larger end itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,12 +20,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternate rounds: each node links its larger neighbours to the smallest node
     around it, then itself and its smaller ones. Each round only combines and
-    joins, and the edges end as stars around the smallest nodes.
+    joins, and ends when the edges are stars around the smallest nodes.
     """
     both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     held = settle(both, "edges")
-    before = _state(held)
-    while True:
+    while not _are_stars(held):
         around = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -31,9 +32,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("x"), "m").filter("x <> m").unionByName(small_least.select(F.col("u").alias("x"), "m"))
         held = settle(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        now = _state(held)
-        if now == before:
-            break
-        before = now
     return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
