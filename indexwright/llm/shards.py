@@ -39,6 +39,8 @@ from indexwright.session import checkpoint_dir
 BUCKET_KEYS = 50_000
 #: Pieces one generation of a worker's memory holds: encoding is all that these workers do.
 REMEMBERED = 400_000
+#: Bytes of text whose repeated pieces are looked up once.
+BLOCK_BYTES = 4 << 20
 #: Bytes of payload read at once.
 READ_BYTES = 16 << 20
 _LEVELS = 64
@@ -81,11 +83,15 @@ def _encoder(content: str, width: type) -> TextEncoder:
         splitter, merges = Splitter(content), Tokenizer.from_str(content).model
         letters = {byte: letter for letter, byte in byte_letters().items()}
 
+        def spelled(word: str) -> str:
+            if word.isascii() and word.isprintable():
+                return word.replace(" ", letters[32])
+            return word.encode().decode("latin-1").translate(letters)
+
         def ids_of(piece: str) -> list[int]:
-            spelled = (w.encode().decode("latin-1").translate(letters) for w in splitter.words_of(piece))
-            return [token.id for word in spelled for token in merges.tokenize(word)]
+            return [token.id for word in splitter.words_of(piece) for token in merges.tokenize(spelled(word))]
 
-        _ENCODERS[key] = TextEncoder(splitter, ids_of, width, REMEMBERED)
+        _ENCODERS[key] = TextEncoder(splitter, ids_of, width, REMEMBERED, BLOCK_BYTES)
     return _ENCODERS[key]
 
 
@@ -115,7 +121,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
         encode, position, last, copy, sink = _encoder(shared.value, width), 0, object(), 0, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            parts = [x + end for x in encode(batch.column(1).to_pylist())]
+            parts = [x + end for x in encode(batch.column(1))]
             copies = []
             for i in ids:
                 copy = copy + 1 if i == last else 0

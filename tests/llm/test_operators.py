@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from indexwright.llm import automaton, columnar, credentials, exact, interpolation, language, lines, matches, mixing, shards, sketches, spans
+from indexwright.llm.chunks import Splitter, TextEncoder
 from indexwright.llm.queries import VOCABULARY
 
 WORD = "[^\x20\x09-\x0D]+"
@@ -47,6 +48,39 @@ def test_automaton_on_random_strings(tokenizer):
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def _counting_encoder():
+    """An encoder whose ids are code points, and the pieces it was asked for."""
+    asked = []
+
+    def ids_of(piece):
+        asked.append(piece)
+        return [ord(c) for c in piece]
+
+    return TextEncoder(Splitter(automaton.read_vocabulary(VOCABULARY)), ids_of, np.uint32), asked
+
+
+def test_marks_and_lines_are_put_together_from_known_words():
+    encode, asked = _counting_encoder()
+    texts = ["ab cd, cd. ab.\ncd ab.\nab", "cd.\nab ab, ab cd.\ncd", "", " ab", "ab ", "\ncd\n", "ab  cd", "<|endoftext|>ab\n\ncd"]
+    got = [np.frombuffer(x, np.uint32).tolist() for x in encode(texts)]
+    want = [[ord(c) for c in t] for t in texts]
+    want[-1] = [50256, *want[-1][len("<|endoftext|>"):]]
+    assert got == want
+    assert set(asked) == {"ab", "cd", " ab", " cd", ".", ",", "\n", " ", "\ncd\n"}
+    encode, asked = _counting_encoder()
+    encode(texts[:5])
+    assert sorted(asked) == ["\n", " ", " ab", " cd", ",", ".", "ab", "cd"]
+
+
+def test_long_pieces_and_lines_are_not_remembered():
+    encode, asked = _counting_encoder()
+    pieces = ["x" * 5000, "ab.\ncd", "-" * 300]
+    encode(["ab " + " ".join(pieces)] * 3)
+    assert not {p for p in (*encode.plain, *encode.spaced) if len(p) > 64 or "\n" in p[:-1]}
+    lines = "ab\n" * 50_000 + "cd"  # as one piece: no depth of calls by line
+    assert np.frombuffer(encode([lines])[0], np.uint32).tolist() == [ord(c) for c in lines]
+
+
 def test_automaton_where_greed_fails():
     merges = ["a b", "b c", "c d", "bc d", "a a", "aa b"]
     letters = sorted(automaton.byte_letters())
