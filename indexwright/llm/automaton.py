@@ -27,9 +27,9 @@ from indexwright.llm.chunks import Splitter, TextEncoder
 from indexwright.llm.columnar import ranges, small_batches
 
 #: Resolved arcs one worker keeps; at that number it starts its table anew.
-ARCS = 500_000
+ARCS = 250_000
 #: Beginnings of words, of a few bytes, whose labels one worker keeps.
-WINDOWS = 150_000
+WINDOWS = 75_000
 _NEVER = 1 << 62
 _WINDOW = 5
 
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = _encoder(content.value)
         for batch in batches:
-            parts = whole(batch.column(1).to_pylist())
+            parts = whole(batch.column(1))
             bounds = np.cumsum([0, *map(len, parts)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["row", "ids"])
@@ -236,18 +236,18 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     """
     spark = frame.sparkSession
     small_batches(spark)
-    content = spark.sparkContext.broadcast(read_vocabulary(path))
+    # The labels are read once, by the driver: no task parses the vocabulary beside its encoder.
+    shared = spark.sparkContext.broadcast(_labels(read_vocabulary(path)))
     kept = frame.drop(into)
     framed = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"),
                          F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("body"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = _labels(content.value)
+        body, at = shared.value
         for batch in batches:
             column = batch.column(1)
             bounds = np.asarray(column.offsets)
             codes = np.asarray(column.values)[bounds[0]:bounds[-1]]
-            body, at = labels
             if len(codes) and (codes.min() < 0 or codes.max() >= len(at) - 1 or (at[codes + 1] == at[codes]).any()):
                 raise ValueError("an id is not in the vocabulary")
             widths = at[codes + 1] - at[codes]
@@ -260,17 +260,11 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     return out.select("row.*", F.col("decoded").alias(into))
 
 
-_LABELS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _labels(content: str) -> tuple[np.ndarray, np.ndarray]:
     """All labels in one array of bytes, and where each begins."""
-    key = hash(content)
-    if key not in _LABELS:
-        described, letters = json.loads(content), byte_letters()
-        label = {i: bytes(letters[x] for x in s) for s, i in described["model"]["vocab"].items()}
-        label |= {t["id"]: t["content"].encode() for t in described["added_tokens"]}
-        parts = [label.get(i, b"") for i in range(max(label) + 1)]
-        at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        _LABELS[key] = np.frombuffer(b"".join(parts), np.uint8), at
-    return _LABELS[key]
+    described, letters = json.loads(content), byte_letters()
+    label = {i: bytes(letters[x] for x in s) for s, i in described["model"]["vocab"].items()}
+    label |= {t["id"]: t["content"].encode() for t in described["added_tokens"]}
+    parts = [label.get(i, b"") for i in range(max(label) + 1)]
+    at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return np.frombuffer(b"".join(parts), np.uint8), at
